@@ -29,7 +29,8 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, broadcas
     # at most HOT_SHARE keys hold more than 1/HOT_SHARE of the rows, so the list is small by arithmetic
     left = df.join(F.broadcast(hot), quoted(key).eqNullSafe(F.col("__hk")), "left").drop("__hk")
     plain = [quoted(c) for c in df.columns if df.schema[c].dataType.typeName() != "map"]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
+    # content and input partition: repeatable when a task is retried, and exact copies still spread out
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int")
     left = left.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
     many = F.when(F.col(weight) > hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = table.withColumn("__rs", F.explode(many)).withColumnRenamed(key, "__lk").drop(weight)

@@ -94,7 +94,12 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
 
 
 def fit_impute(
-    df: DataFrame, cols: Sequence[str], strategy: str = "mean", fill_value: float = 0.0, fit_on: str = "all"
+    df: DataFrame,
+    cols: Sequence[str],
+    strategy: str = "mean",
+    fill_value: float = 0.0,
+    fit_on: str = "all",
+    no_mode: str = "",
 ) -> Fitted:
     """Fill values: mean (default, also for ``most_frequent``), median or constant for numbers, mode for text."""
     where = _train_only(fit_on)
@@ -111,7 +116,7 @@ def fit_impute(
         fills = {c: s["mean"] for c, s in _stats(df, numeric, {"mean": F.avg}, where).items()}
     params: dict[str, dict] = {c: {"fill_value": 0.0 if v is None else v} for c, v in fills.items()}
     top = modes(df if where is None else df.filter(where), text)
-    params.update({c: {"fill_value": top.get(c, "")} for c in text})
+    params.update({c: {"fill_value": top.get(c, no_mode)} for c in text})
     return Fitted("imputation", {c: params[c] for c in cols}, {"strategy": strategy})
 
 
@@ -376,11 +381,7 @@ def onehot_encode(df: DataFrame, cols: Sequence[str], max_card: int = 20) -> Dat
 
 def fit_null_guard(df: DataFrame, features: Sequence[str]) -> Fitted:
     """Last fill of features: mean for numbers (0.0 if all null), mode for others ("missing" if none)."""
-    fitted = fit_impute(df, features, "mean")
-    for c, p in fitted.params.items():
-        if p["fill_value"] == "" and not is_numeric(field_type(df, c)):
-            p["fill_value"] = "missing"
-    return fitted
+    return fit_impute(df, features, "mean", no_mode="missing")
 
 
 def null_guard(df: DataFrame, features: Sequence[str]) -> DataFrame:
