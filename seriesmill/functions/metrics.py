@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import finite
+from seriesmill.operators.joins import attach_row, lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
 
 EPS = 2.220446049250313e-16  # machine epsilon of a double
@@ -112,8 +113,10 @@ def f1_weighted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _score_counts(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Positives and negatives per distinct score. The larger of the two classes is the positive one."""
-    two = df.groupBy(*keys).agg(F.min("y_true").alias("__lo"), F.max("y_true").alias("__hi"))
-    both = df.join(two, list(keys)) if keys else df.join(F.broadcast(two))  # `two` is a single row here
+    two = df.groupBy(*keys).agg(
+        F.min("y_true").alias("__lo"), F.max("y_true").alias("__hi"), F.count(F.lit(1)).alias("__rows")
+    )
+    both = lookup_join(df, two, keys, "__rows") if keys else attach_row(df, two)
     # a third class lies strictly between the smallest and the largest one
     return both.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col("y_true") == F.col("__hi")).alias("pos"),
@@ -154,7 +157,7 @@ def compute_metrics(
     rows = F.count(F.lit(1)).alias("__rows")
     out = df.groupBy(*keys).agg(rows, *[c.alias(n) for n, c in aggs.items()])
     for other in joins:
-        out = out.join(other, keys, "left") if keys else out.join(F.broadcast(other))  # single rows
+        out = out.join(other, keys, "left") if keys else attach_row(out, other)
     return out.select(*keys, *names)
 
 

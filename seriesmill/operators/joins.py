@@ -2,37 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import quoted
+from seriesmill.functions.columns import as_list, quoted
 
 BROADCAST_ROWS = 500_000  # narrow lookup tables up to this many rows are broadcast
 HOT_SHARE = 1_000  # a key with more than 1/HOT_SHARE of the rows is salted
 SALTS = 64
 
 
-def lookup_join(df: DataFrame, table: DataFrame, key: str, weight: str, broadcast_rows: int | None = None) -> DataFrame:
+def lookup_join(
+    df: DataFrame, table: DataFrame, key: str | Sequence[str], weight: str, broadcast_rows: int | None = None
+) -> DataFrame:
     """Left join of ``df`` with ``table`` on ``key`` (null matches null), skew-safe.
 
     ``table`` holds one row per key and the number of rows of ``df`` with that key in ``weight``. It is
     broadcast while it is small. Beyond that both sides are shuffled; rows of frequent keys are spread over
     ``SALTS`` partitions and only the matching lookup rows are copied to each of them.
     """
+    keys = as_list(key)
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     rows, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    right = table.withColumnRenamed(key, "__lk").drop(weight)
+    rest = [quoted(c) for c in table.columns if c not in keys and c != weight]
+    names = [quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+
+    def same(prefix: str = "__k") -> Column:
+        test = quoted(keys[0]).eqNullSafe(F.col(f"{prefix}0"))
+        for i, k in enumerate(keys[1:], 1):
+            test = test & quoted(k).eqNullSafe(F.col(f"{prefix}{i}"))
+        return test
+
+    gone = [f"__k{i}" for i in range(len(keys))]
     if rows <= limit:
-        return df.join(F.broadcast(right), quoted(key).eqNullSafe(F.col("__lk")), "left").drop("__lk")
+        return df.join(F.broadcast(table.select(*names, *rest)), same(), "left").drop(*gone)
     hot_from = max(1, total // HOT_SHARE)
-    hot = table.filter(F.col(weight) > hot_from).select(F.col(key).alias("__hk"), F.lit(True).alias("__hot"))
-    # at most HOT_SHARE keys hold more than 1/HOT_SHARE of the rows, so the list is small by arithmetic
-    left = df.join(F.broadcast(hot), quoted(key).eqNullSafe(F.col("__hk")), "left").drop("__hk")
-    plain = [quoted(c) for c in df.columns if df.schema[c].dataType.typeName() != "map"]
+    is_hot = F.col(weight) > hot_from
+    hot = table.filter(is_hot).select(*[quoted(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
+    # at most HOT_SHARE keys can hold more than 1/HOT_SHARE of the rows each
+    left = df.join(F.broadcast(hot), same("__h"), "left").drop(*[f"__h{i}" for i in range(len(keys))])
+    plain = [quoted(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
     # content and input partition: repeatable when a task is retried, and exact copies still spread out
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int")
     left = left.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    many = F.when(F.col(weight) > hot_from, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = table.withColumn("__rs", F.explode(many)).withColumnRenamed(key, "__lk").drop(weight)
-    on = quoted(key).eqNullSafe(F.col("__lk")) & (F.col("__salt") == F.col("__rs"))
-    return left.join(salted, on, "left").drop("__lk", "__rs", "__salt")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = table.select(*names, *rest, F.explode(copies).alias("__rs"))
+    return left.join(salted, same() & (F.col("__salt") == F.col("__rs")), "left").drop(*gone, "__rs", "__salt")
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate to every row, as literals."""
+    row = one_row.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields})

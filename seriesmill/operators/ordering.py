@@ -85,7 +85,7 @@ class Layout:
         self.n_blocks = 0
         if block_rows is not None:
             self.n_blocks = len(block_rows)
-            schema = "__code bigint, __blk bigint, __offset bigint, __prev bigint, __next bigint"
+            schema = "__code bigint, __blk bigint, __offset bigint, __after bigint, __prev bigint, __next bigint"
             self._blocks = spark.createDataFrame(block_rows, schema)
 
     @property
@@ -207,6 +207,23 @@ class Layout:
             rank = rank + F.coalesce(F.col("__offset"), F.lit(0))
         return bound.select(*df.columns, rank.alias(out))
 
+    def first_rows(self, df: DataFrame, n: int, rank: str | None = None) -> DataFrame:
+        """The first ``n`` rows of every series; blocks that lie wholly behind them are not even shuffled."""
+        return self._end_rows(df, n, "__offset", self.window(), rank)
+
+    def last_rows(self, df: DataFrame, n: int, rank: str | None = None) -> DataFrame:
+        """The last ``n`` rows of every series; ``rank`` counts from the end."""
+        return self._end_rows(df, n, "__after", self.reverse_window(), rank)
+
+    def _end_rows(self, df: DataFrame, n: int, skipped: str, w: WindowSpec, rank: str | None) -> DataFrame:
+        bound = self.bind(df)
+        passed = F.coalesce(F.col(skipped), F.lit(0)) if self.cut else F.lit(0)
+        near = bound.filter(passed < n).withColumn("__rn", F.row_number().over(w))
+        # a limit on the row number alone lets Spark drop rows before the shuffle
+        near = near.filter(F.col("__rn") <= n).filter(F.col("__rn") + passed <= n)
+        extra = [(F.col("__rn") - 1 + passed).cast("int").alias(rank)] if rank else []
+        return near.select(*df.columns, *extra)
+
     def running_sum(self, df: DataFrame, sums: dict[str, str], inclusive: bool = True) -> DataFrame:
         """Adds running totals ``{new column: source column}`` along the order, per series."""
         bound = self.bind(df)
@@ -287,13 +304,13 @@ def _block_rows(counts: list[tuple[int, int, int]], reach: int) -> list[tuple]:
             codes, n = groups.pop()
             groups[-1][0].extend(codes)
             groups[-1][1] += n
-        offset = 0
+        offset, total = 0, sum(n for _, n in groups)
         first, last = block + 1, block + len(groups)
         for codes, n in groups:
             block += 1
             prev = block - 1 if block > first else None
             nxt = block + 1 if block < last else None
-            rows.extend((code, block, offset, prev, nxt) for code in codes)
+            rows.extend((code, block, offset, total - offset - n, prev, nxt) for code in codes)
             offset += n
     return rows
 

@@ -85,14 +85,18 @@ def split_fractions(n: Column) -> dict[str, Column]:
 
 def select_metrics(tasks: DataFrame, prediction_type: str = "point") -> DataFrame:
     """(table_name, metric, ordinal): the metrics that apply to each table's task."""
-    catalog = metric_catalog(tasks.sparkSession)
-    regular = F.array_contains("tasks", F.col("task_type")) & (
-        F.col("requires").isNull() | (F.col("requires") == prediction_type)
+    rows = [("grouped_prediction", m, i) for i, m in enumerate(GROUPED_METRICS)]
+    rows += [
+        (task, name, i)
+        for i, (name, _, _, used_by, needs) in enumerate(METRICS)
+        for task in used_by
+        if needs is None or needs == prediction_type
+    ]
+    by_task = tasks.sparkSession.createDataFrame(rows, "task_type string, metric string, ordinal int")
+    # a fixed table of task and metric names
+    return tasks.select("table_name", "task_type").join(F.broadcast(by_task), "task_type").select(
+        "table_name", "task_type", "metric", "ordinal"
     )
-    grouped = (F.col("task_type") == "grouped_prediction") & F.col("metric").isin(GROUPED_METRICS)
-    # eleven fixed metrics, one row per table: a broadcast condition join of two small tables
-    out = tasks.select("table_name", "task_type").join(F.broadcast(catalog), regular | grouped)
-    return out.select("table_name", "task_type", "metric", "ordinal")
 
 
 def eval_protocol(tasks: DataFrame, num_rows: str = "num_rows", prediction_type: str = "point") -> DataFrame:

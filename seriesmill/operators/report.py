@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import as_list, ascending, hash_order
+from seriesmill.functions.columns import as_list, hash_order
+from seriesmill.operators.joins import attach_row, lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
 from seriesmill.operators.protocol import HIGHER_IS_BETTER
 
@@ -136,8 +137,10 @@ def residual_histogram(pred: DataFrame, keys: Sequence[str] = ("model",)) -> Dat
         bins.alias("bins"),
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+        F.col("n").alias("__n"),
     )
-    rows = pred.select(*keys, e.alias("e")).join(span, keys) if keys else pred.select(e.alias("e")).join(F.broadcast(span))
+    rows = pred.select(*keys, e.alias("e"))
+    rows = lookup_join(rows, span, keys, "__n") if keys else attach_row(rows, span)
     b = F.least(F.floor((F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")) + 1, F.col("bins"))
     counts = rows.filter(F.col("e").isNotNull()).groupBy(*keys, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     frame = span.select(*keys, "bins", "lo", "hi", F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin"))
@@ -154,9 +157,9 @@ def residual_histogram(pred: DataFrame, keys: Sequence[str] = ("model",)) -> Dat
 def scatter_data(pred: DataFrame, n: int, key: str | Sequence[str], model: str = "model", seed: int = 42) -> DataFrame:
     """``n`` reproducibly chosen (y_true, y_pred) pairs per model; a chart shows a sample."""
     head, digest = hash_order(key, seed)
-    w = Window.partitionBy(model).orderBy(head, digest, *as_list(key))
-    ranked = pred.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n)
-    return ranked.select(model, *as_list(key), "y_true", "y_pred")
+    rows = pred.select(model, *as_list(key), "y_true", "y_pred", head.alias("__h"), digest.alias("__d"))
+    picked = fit_layout(rows, ["__h", "__d", *as_list(key)], [model]).first_rows(rows, n)
+    return picked.select(model, *as_list(key), "y_true", "y_pred")
 
 
 def identity_range(pred: DataFrame, model: str = "model") -> DataFrame:
@@ -168,9 +171,10 @@ def identity_range(pred: DataFrame, model: str = "model") -> DataFrame:
 
 def trace(pred: DataFrame, order_by: str | Sequence[str], n: int = 100, model: str = "model") -> DataFrame:
     """The first ``n`` steps of every model's predictions."""
-    w = Window.partitionBy(model).orderBy(*ascending(as_list(order_by)))
-    ranked = pred.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= n)
-    return ranked.select(model, (F.col("step") - 1).alias("step"), "y_true", "y_pred")
+    order = as_list(order_by)
+    rows = pred.select(*dict.fromkeys([model, *order, "y_true", "y_pred"]))
+    picked = fit_layout(rows, order, [model]).first_rows(rows, n, rank="step")
+    return picked.select(model, "step", "y_true", "y_pred")
 
 
 def confusion_matrix(pred: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -192,8 +196,10 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = ("model",), score: str = "y
     counts = _score_counts(pred, keys, score).withColumn("__down", -F.col("score"))
     layout = fit_layout(counts, ["__down"], keys or None, 0, sizing)
     points = layout.running_sum(counts, {"tp": "pos", "fp": "neg"})
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    out = points.join(totals, keys) if keys else points.join(F.broadcast(totals))  # one row per model
+    totals = counts.groupBy(*keys).agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("__n")
+    )
+    out = lookup_join(points, totals, keys, "__n") if keys else attach_row(points, totals)
     return out.select(
         *keys,
         F.col("score").alias("threshold"),

@@ -185,10 +185,8 @@ def detrend(
     if kind == "linear":
         aggs += [F.avg(x).alias("__mx"), (F.var_pop(x) * F.count(x)).alias("__sxx")]
     if series:
-        key = F.struct(*[quoted(s) for s in series])
-        fits = placed.groupBy(key.alias("__key")).agg(*aggs)
-        fits = fits.withColumn("__rows", F.col("__n"))
-        source = lookup_join(placed.withColumn("__key", key), fits, "__key", "__rows")
+        fits = placed.groupBy(*series).agg(*aggs).withColumn("__rows", F.col("__n"))
+        source = lookup_join(placed, fits, series, "__rows")
         get = F.col
     else:
         row = placed.agg(*aggs).first()
