@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import as_double, as_list, numeric_columns, present, quoted
+from seriesmill.functions.columns import as_double, as_list, field_type, is_float, numeric_columns, present, quoted
 from seriesmill.operators.fills import fill_edges
 from seriesmill.operators.joins import lookup_join
 from seriesmill.operators.ordering import Layout, Sizing, fit_layout
@@ -27,6 +27,7 @@ class WindowStep:
     before: int = 0
     after: int = 0
     skip_first: int = 0
+    sources: list[str] = field(default_factory=list)  # columns whose NaN count as null
 
     def __add__(self, other: WindowStep) -> WindowStep:
         return WindowStep(
@@ -34,8 +35,15 @@ class WindowStep:
             max(self.before, other.before),
             max(self.after, other.after),
             max(self.skip_first, other.skip_first),
+            list(dict.fromkeys([*self.sources, *other.sources])),
         )
 
+    def evaluate(self, df: DataFrame, layout: Layout) -> DataFrame:
+        # NaN become null once, before the shuffle, so that the window functions share the plain columns
+        floats = {c: present(df, c) for c in self.sources if is_float(field_type(df, c))}
+        df = df.withColumns(floats) if floats else df
+        return layout.windowed(df, self.columns, self.before, self.after, self.skip_first)
+
     @property
     def reach(self) -> int:
         return max(self.before, self.after, self.skip_first)
@@ -54,7 +62,7 @@ def run_windows(
         return df
     if layout is None or layout.reach < step.reach:
         layout = fit_layout(df, order_by, partition_by, step.reach, sizing)
-    return layout.windowed(df, step.columns, step.before, step.after, step.skip_first)
+    return step.evaluate(df, layout)
 
 
 # ---------------------------------------------------------------- lags and rolling
@@ -68,9 +76,10 @@ def lag_step(df: DataFrame, cols: Sequence[str], lags: Sequence[int], target: st
     sources = numeric_columns(df, cols)
     if target is not None:
         sources = sources + numeric_columns(df, [target])
+    step.sources = sources
     for c in sources:
         for k in lags:
-            step.columns[f"{c}_lag_{k}"] = lambda w, v=present(df, c), k=k: F.lag(v, k).over(w)
+            step.columns[f"{c}_lag_{k}"] = lambda w, c=c, k=k: F.lag(quoted(c), k).over(w)
     step.before = step.skip_first = max(lags)
     return step
 
@@ -80,7 +89,8 @@ def rolling_step(df: DataFrame, cols: Sequence[str], window: int = 24, target: s
     step = WindowStep()
 
     def add(c: str, first: int, last: int) -> None:
-        v = as_double(df, c)
+        v = quoted(c)
+        step.sources.append(c)
         step.columns[f"{c}_rolling_mean_{window}"] = lambda w: F.avg(v).over(w.rowsBetween(first, last))
         step.columns[f"{c}_rolling_std_{window}"] = lambda w: F.coalesce(
             F.stddev_pop(v).over(w.rowsBetween(first, last)), F.lit(0.0)
@@ -109,8 +119,9 @@ def rolling_stats(df, cols, window, order_by, partition_by=None, target=None, si
 def difference_step(df: DataFrame, cols: Sequence[str], first: str = "drop") -> WindowStep:
     """Each value minus the one before it; the first row is dropped, or holds 0 (``first="zero"``)."""
     step = WindowStep(before=1)
-    for c in numeric_columns(df, cols):
-        v = as_double(df, c)
+    step.sources = numeric_columns(df, cols)
+    for c in step.sources:
+        v = quoted(c).cast("double")
         if first == "zero":
             step.columns[c] = lambda w, v=v: F.coalesce(v - F.lag(v, 1).over(w), F.lit(0.0))
         else:
@@ -127,8 +138,9 @@ def difference(df, cols, order_by, partition_by=None, first="drop", sizing=None)
 def smooth_step(df: DataFrame, cols: Sequence[str], window: int = 3) -> WindowStep:
     """Trailing moving average over up to ``window`` rows."""
     step = WindowStep(before=window - 1)
-    for c in numeric_columns(df, cols):
-        step.columns[c] = lambda w, v=as_double(df, c): F.avg(v).over(w.rowsBetween(-(window - 1), 0))
+    step.sources = numeric_columns(df, cols)
+    for c in step.sources:
+        step.columns[c] = lambda w, c=c: F.avg(quoted(c)).over(w.rowsBetween(-(window - 1), 0))
     return step
 
 
@@ -138,17 +150,16 @@ def smooth(df, cols, window, order_by, partition_by=None, center=False, sizing=N
         return run_windows(df, smooth_step(df, cols, window), order_by, partition_by, sizing=sizing)
     before = (window - 1) // 2 if window % 2 else window // 2
     after = window - 1 - before
-    step = WindowStep(before=before, after=after)
-    for c in numeric_columns(df, cols):
-        v = as_double(df, c)
+    step = WindowStep(before=before, after=after, sources=numeric_columns(df, cols))
+    for c in step.sources:
 
-        def full(w: WindowSpec, v=v) -> Column:
+        def full(w: WindowSpec, c=c) -> Column:
             frame = w.rowsBetween(-before, after)
-            return F.when(F.count(v).over(frame) == window, F.avg(v).over(frame))
+            return F.when(F.count(quoted(c)).over(frame) == window, F.avg(quoted(c)).over(frame))
 
         step.columns[c] = full
     layout = fit_layout(df, order_by, partition_by, step.reach, sizing)
-    averaged = layout.windowed(df, step.columns, before, after)
+    averaged = step.evaluate(df, layout)
     return fill_edges(averaged, list(step.columns), layout, first="backward")
 
 
