@@ -57,7 +57,7 @@ SHAPES = {
 def _column_sql(source: str, table: str, order: list[str], i: int, col: str, inferred: str, dtype: str) -> str:
     num = inferred == "numeric"
     stats = (
-        f"CAST(min({col}) AS DOUBLE) AS min, CAST(max({col}) AS DOUBLE) AS max, round(avg({col}), 6) AS mean, "
+        f"CAST(min({col}) AS DOUBLE) AS min, CAST(max({col}) AS DOUBLE) AS max, round(avg({col}), 4) AS mean, "
         f"round(stddev_samp({col}), 4) AS std, coalesce(bool_or({col} < 0), false) AS has_negative_values"
         if num
         else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, false AS has_negative_values"
@@ -184,7 +184,7 @@ def b5(spark, d):
 @query("b6_profile", profile_sql(["orders", "events", "lineitem", "embeddings"]))
 def b6(spark, d):
     out = catalog_profile(spark, d).filter(F.col("table_name").isin("orders", "events", "lineitem", "embeddings"))
-    return out.drop("sample_values").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 4)})
+    return out.drop("sample_values").withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
 @query(
@@ -235,7 +235,7 @@ FACTS = (
     "facts AS (SELECT t.table_name, t.target_col, task_confidence, time_col, group_col, q.inferred_type AS tt, q.dtype AS td, "
     f"q.unique_count AS tu, q.missing_fraction AS tm, q.min AS tmin, q.max AS tmax, q.has_negative_values AS tneg, {_TYPE} AS task_type "
     "FROM target t LEFT JOIN prof q ON q.table_name = t.table_name AND q.name = t.target_col "
-    "JOIN times USING (table_name) JOIN groups USING (table_name))"
+    "JOIN times tm ON tm.table_name = t.table_name JOIN groups g ON g.table_name = t.table_name)"
 )
 _SUB = "CASE WHEN td LIKE '%int%' AND NOT tneg THEN 'count' WHEN tmin >= 0 AND tmax <= 1 THEN 'bounded' ELSE 'standard' END"
 SPEC = (
@@ -273,7 +273,7 @@ def b10(spark, d):
     "b11_series_flags",
     f"WITH {EVENTS_SQL}, p AS (SELECT v, row_number() OVER (ORDER BY ts, event_id) - 1 AS x, lag(v, 24) OVER (ORDER BY ts, event_id) AS l FROM ev), "
     "q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM ev) "
-    "SELECT round(regr_r2(v, x), 6) AS trend_r2, round(corr(v, l), 6) AS lag_corr, count_if(v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) AS outlier_count, "
+    "SELECT round(regr_r2(v, x), 6) AS trend_r2, round(corr(v, l), 6) AS lag_corr, CAST(count_if(v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) AS BIGINT) AS outlier_count, "
     "regr_r2(v, x) >= 0.5 AS has_trend, abs(corr(v, l)) >= 0.5 AS has_seasonality, "
     "count_if(v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) > 0 AS has_outliers FROM p, q",
 )

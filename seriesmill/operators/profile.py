@@ -109,11 +109,21 @@ def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return _one_row_to_long(df.agg(*exprs), cols, NUMERIC_FIELDS)
 
 
-def infer_types(
-    df: DataFrame, order_by: str | Sequence[str], probe: int = PROBE_ROWS, thr: float = PARSE_SHARE
-) -> dict[str, str]:
-    """Inferred type per column; text counts as datetime when enough of its first values parse."""
-    out, text = {}, []
+def _first_values(df: DataFrame, order_by, probe: int, n: int, cols: Sequence[str]) -> dict[str, tuple[float, list[str]]]:
+    """Per column: share of its first ``probe`` values that parse as a time, and the first ``n`` of them as text."""
+    if not cols:
+        return {}
+    values = sample_values(df, order_by, max(probe, n), cols)
+    shown = F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "value")))), lambda s: s["value"]
+    )
+    parsed = F.when(F.col("rank") <= probe, F.col("value").try_cast("timestamp").isNotNull().cast("int"))
+    per_column = values.groupBy("column").agg(F.avg(parsed).alias("share"), shown.alias("first"))
+    return {r["column"]: (r["share"], r["first"]) for r in per_column.collect()}  # one row per column
+
+
+def _types(df: DataFrame, first: dict, thr: float) -> dict[str, str]:
+    out = {}
     for c in df.columns:
         dt = field_type(df, c)
         if isinstance(dt, T.BooleanType):
@@ -123,20 +133,20 @@ def infer_types(
         elif is_numeric(dt):
             out[c] = "numeric"
         elif is_string(dt):
-            out[c] = "categorical"
-            text.append(c)
+            out[c] = "datetime" if c in first and first[c][0] >= thr else "categorical"
         else:
             out[c] = "unknown"
-    if text:
-        tested = sample_values(df, order_by, probe, text).groupBy("column").agg(
-            F.avg(F.col("value").try_cast("timestamp").isNotNull().cast("int")).alias("share")
-        )
-        for row in tested.collect():  # one row per text column
-            if row["share"] >= thr:
-                out[row["column"]] = "datetime"
     return out
 
 
+def infer_types(
+    df: DataFrame, order_by: str | Sequence[str], probe: int = PROBE_ROWS, thr: float = PARSE_SHARE
+) -> dict[str, str]:
+    """Inferred type per column; text counts as datetime when enough of its first values parse."""
+    text = [c for c in df.columns if is_string(field_type(df, c))]
+    return _types(df, _first_values(df, order_by, probe, 0, text), thr)
+
+
 def is_monotonic(df: DataFrame, col: str, order_by: str | Sequence[str], sizing: Sizing | None = None) -> DataFrame:
     """One row: does ``col`` never decrease in row order; nulls are ignored, null result for fewer than two values."""
     order = as_list(order_by)
@@ -177,7 +187,8 @@ def profile(
     All counts and statistics come from one aggregation over the table.
     """
     order, cols = as_list(order_by), df.columns
-    types = infer_types(df, order)
+    first = _first_values(df, order, PROBE_ROWS, 5, cols)
+    types = _types(df, first, PARSE_SHARE)
     n = F.count(F.lit(1))
     fn = F.approx_count_distinct if approx else F.count_distinct
     exprs = []
@@ -196,15 +207,15 @@ def profile(
         for c in cols
         if types[c] == "datetime"
     }
+    rows = [
+        (i, c, types[c], dtype_name(field_type(df, c)), rising.get(c), first.get(c, (0.0, []))[1]) for i, c in enumerate(cols)
+    ]
     facts = df.sparkSession.createDataFrame(
-        [(i, c, types[c], dtype_name(field_type(df, c)), rising.get(c)) for i, c in enumerate(cols)],
-        "ordinal int, column string, inferred_type string, dtype string, is_monotonically_increasing boolean",
-    )
-    samples = sample_values(df, order, 5).groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values")
+        rows,
+        "ordinal int, column string, inferred_type string, dtype string, is_monotonically_increasing boolean, "
+        "sample_values array<string>",
     )
-    # one row per column on every side
-    out = facts.join(F.broadcast(stats), "column").join(F.broadcast(samples), "column", "left")
+    out = facts.join(F.broadcast(stats), "column")  # one row per column on both sides
     return out.select(
         F.lit(table_name).alias("table_name"),
         "ordinal",
@@ -214,7 +225,7 @@ def profile(
         "missing_count",
         "missing_fraction",
         "unique_count",
-        F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
+        "sample_values",
         *NUMERIC_FIELDS,
         (F.col("inferred_type") == "datetime").alias("is_temporal"),
         "is_monotonically_increasing",
