@@ -92,7 +92,7 @@ def catalog_profile(spark, d) -> DataFrame:
     key = (id(spark), d)
     if key not in _CACHE:
         tables = {t: (read(spark, d, t), order) for t, (order, _) in SHAPES.items()}
-        _CACHE[key] = B.profile_tables(tables).persist()
+        _CACHE[key] = B.profile_tables(tables).repartition(1).persist()  # 65 rows
     return _CACHE[key]
 
 

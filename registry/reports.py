@@ -52,7 +52,7 @@ _BASE = "b AS (SELECT run_id, max_by(value, rank) AS base FROM cmp GROUP BY 1)"
     f"WITH {PRED}, {_EVAL}, {_rank('mae', False)}, {_BASE}, "
     "en AS (SELECT run_id, avg(value) AS value FROM cmp GROUP BY 1), "
     "al AS (SELECT run_id, rank, model, value FROM cmp UNION ALL SELECT run_id, NULL, 'Ensemble', value FROM en) "
-    "SELECT run_id, CAST(rank AS INTEGER) AS rank, model, CASE WHEN rank IS NULL THEN 'ensemble' END AS tier, round(value, 5) AS value, round(base - value, 5) AS delta, "
+    "SELECT run_id, CAST(rank AS INTEGER) AS rank, model, CASE WHEN rank IS NULL THEN 'ensemble' END AS tier, round(value, 5) AS value, round(base - value, 6) AS delta, "
     "round(CASE WHEN base = 0 THEN 0 ELSE (base - value) / abs(base) * 100 END, 4) AS delta_pct, "
     "CASE WHEN rank IS NULL THEN 'Ensemble' WHEN rank = 1 THEN 'Best Overall' WHEN rank = 2 THEN 'Strong Performer' ELSE 'Baseline' END AS recommendation "
     "FROM al JOIN b USING (run_id)",
@@ -61,7 +61,7 @@ def k2(spark, d):
     cmp = K.comparison_table(_evaluated(spark, d), "mae")
     extra = cmp.groupBy("run_id").agg(F.avg("value").alias("value"))
     board = K.leaderboard(cmp, higher_is_better=False, ensemble=extra)
-    return board.withColumns({"value": F.round("value", 5), "delta": F.round("delta", 5)}).select(
+    return board.withColumn("value", F.round("value", 5)).select(
         "run_id", "rank", "model", "tier", "value", "delta", "delta_pct", "recommendation"
     )
 
@@ -136,7 +136,8 @@ def _three(spark, d):
     return read(spark, d, "orders").selectExpr(
         "o_orderkey",
         "o_totalprice AS y_true",
-        "inline(array(struct('a' AS model, o_totalprice * 0.9D AS y_pred), struct('b', CAST(o_custkey * 10 AS DOUBLE)), struct('c', 250000D)))",
+        "inline(array(struct('a' AS model, o_totalprice * 0.9D AS y_pred), "
+        "struct('b' AS model, CAST(o_custkey * 10 AS DOUBLE) AS y_pred), struct('c' AS model, 250000D AS y_pred)))",
     )
 
 

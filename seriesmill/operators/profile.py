@@ -51,10 +51,16 @@ def dtype_name(dt: T.DataType) -> str:
     return DTYPE_NAMES.get(type(dt), "decimal" if isinstance(dt, T.DecimalType) else "object")
 
 
-def _one_row_to_long(stats: DataFrame, cols: Sequence[str], fields: dict[str, str]) -> DataFrame:
-    """Turns columns ``{i}|{field}`` of a one-row frame into one row per profiled column."""
+def _one_row_to_long(
+    stats: DataFrame, cols: Sequence[str], fields: dict[str, str], known: Sequence[dict[str, Column]] | None = None
+) -> DataFrame:
+    """Turns columns ``{i}|{field}`` of a one-row frame into one row per profiled column, with what is ``known`` added."""
     rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"`{i}|{f}`").cast(t).alias(f) for f, t in fields.items()])
+        F.struct(
+            F.lit(c).alias("column"),
+            *[F.col(f"`{i}|{f}`").cast(t).alias(f) for f, t in fields.items()],
+            *[v.alias(n) for n, v in (known[i] if known else {}).items()],
+        )
         for i, c in enumerate(cols)
     ]
     return stats.select(F.inline(F.array(*rows)))
@@ -201,21 +207,22 @@ def profile(
             *_numeric_exprs(df, c, i),
             n.alias(f"{i}|num_rows"),
         ]
-    stats = _one_row_to_long(df.agg(*exprs), cols, PROFILE_FIELDS)
     rising = {
         c: True if c == order[0] and not is_string(field_type(df, c)) else is_monotonic(df, c, order, sizing).first()[0]
         for c in cols
         if types[c] == "datetime"
     }
-    rows = [
-        (i, c, types[c], dtype_name(field_type(df, c)), rising.get(c), first.get(c, (0.0, []))[1]) for i, c in enumerate(cols)
+    known = [
+        {
+            "ordinal": F.lit(i),
+            "inferred_type": F.lit(types[c]),
+            "dtype": F.lit(dtype_name(field_type(df, c))),
+            "is_monotonically_increasing": F.lit(rising.get(c)).cast("boolean"),
+            "sample_values": F.array(*[F.lit(v) for v in first.get(c, (0.0, []))[1]]).cast("array<string>"),
+        }
+        for i, c in enumerate(cols)
     ]
-    facts = df.sparkSession.createDataFrame(
-        rows,
-        "ordinal int, column string, inferred_type string, dtype string, is_monotonically_increasing boolean, "
-        "sample_values array<string>",
-    )
-    out = facts.join(F.broadcast(stats), "column")  # one row per column on both sides
+    out = _one_row_to_long(df.agg(*exprs), cols, PROFILE_FIELDS, known)
     return out.select(
         F.lit(table_name).alias("table_name"),
         "ordinal",
