@@ -52,43 +52,43 @@ def arima_fit(
     rows = _differences(df, value, order_by, series, sizing)
     parts = [x for c in order for x in (quoted(c).isNull(), quoted(c))]
     last = F.max(F.struct(*parts, F.struct("__y", "__d0", "__d1", "__d2", "__d3").alias("state")))
-    aggs = [F.count(F.lit(1)).alias("n"), last["state"].alias("s")]
-    aggs += [_product(a, b, "__d2").alias(f"p{a}{b}") for a, b in ((1, 1), (2, 2), (1, 2), (0, 1), (0, 2))]
-    aggs += [_product(a, b, "__d3").alias(f"q{a}{b}") for a in range(4) for b in range(a, 4)]
+    aggs = [F.count(F.lit(1)).alias("__n"), last["state"].alias("__s")]
+    aggs += [_product(a, b, "__d2").alias(f"__p{a}{b}") for a, b in ((1, 1), (2, 2), (1, 2), (0, 1), (0, 2))]
+    aggs += [_product(a, b, "__d3").alias(f"__q{a}{b}") for a in range(4) for b in range(a, 4)]
     sums = rows.groupBy(*keys).agg(*aggs)
     c = F.col
-    det = c("p11") * c("p22") - c("p12") * c("p12")
+    det = c("__p11") * c("__p22") - c("__p12") * c("__p12")
     sums = sums.withColumns(
         {
-            "a1": F.try_divide(c("p01") * c("p22") - c("p02") * c("p12"), det),
-            "a2": F.try_divide(c("p02") * c("p11") - c("p01") * c("p12"), det),
+            "__a1": F.try_divide(c("__p01") * c("__p22") - c("__p02") * c("__p12"), det),
+            "__a2": F.try_divide(c("__p02") * c("__p11") - c("__p01") * c("__p12"), det),
         }
     )
     # sums with u_{t-1} = d1 - a1 d2 - a2 d3 written out in products of the differences
-    a1, a2 = c("a1"), c("a2")
-    s12 = c("q11") - a1 * c("q12") - a2 * c("q13")
+    a1, a2 = c("__a1"), c("__a2")
+    s12 = c("__q11") - a1 * c("__q12") - a2 * c("__q13")
     s22 = (
-        c("q11") + a1 * a1 * c("q22") + a2 * a2 * c("q33")
-        - 2 * a1 * c("q12") - 2 * a2 * c("q13") + 2 * a1 * a2 * c("q23")
+        c("__q11") + a1 * a1 * c("__q22") + a2 * a2 * c("__q33")
+        - 2 * a1 * c("__q12") - 2 * a2 * c("__q13") + 2 * a1 * a2 * c("__q23")
     )
-    b2 = c("q01") - a1 * c("q02") - a2 * c("q03")
-    sums = sums.withColumns({"s11": c("q11"), "s12": s12, "s22": s22, "b1": c("q01"), "b2": b2})
-    det = c("s11") * c("s22") - c("s12") * c("s12")
-    enough = c("n") >= min_history
-    phi = F.try_divide(c("b1") * c("s22") - c("b2") * c("s12"), det)
-    theta = F.try_divide(c("b2") * c("s11") - c("b1") * c("s12"), det)
+    b2 = c("__q01") - a1 * c("__q02") - a2 * c("__q03")
+    sums = sums.withColumns({"__s11": c("__q11"), "__s12": s12, "__s22": s22, "__b1": c("__q01"), "__b2": b2})
+    det = c("__s11") * c("__s22") - c("__s12") * c("__s12")
+    enough = c("__n") >= min_history
+    phi = F.try_divide(c("__b1") * c("__s22") - c("__b2") * c("__s12"), det)
+    theta = F.try_divide(c("__b2") * c("__s11") - c("__b1") * c("__s12"), det)
     phi = F.when(phi.isNotNull(), F.least(F.greatest(phi, F.lit(-CLIP)), F.lit(CLIP)))
     return sums.select(
         *keys,
-        "n",
+        c("__n").alias("n"),
         F.when(enough, phi).alias("phi"),
         F.when(enough, theta).alias("theta"),
         F.when(enough, a1).alias("a1"),
         F.when(enough, a2).alias("a2"),
-        c("s.__y").alias("y_last"),
-        c("s.__d0").alias("d_last"),
-        c("s.__d1").alias("d_prev"),
-        (c("s.__d1") - a1 * c("s.__d2") - a2 * c("s.__d3")).alias("u_prev"),
+        c("__s.__y").alias("y_last"),
+        c("__s.__d0").alias("d_last"),
+        c("__s.__d1").alias("d_prev"),
+        (c("__s.__d1") - a1 * c("__s.__d2") - a2 * c("__s.__d3")).alias("u_prev"),
     )
 
 

@@ -82,11 +82,20 @@ def _fraction(part: Column, n: Column) -> Column:
 
 
 def distinct_stats(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """(column, unique_count) without missing values; ``approx=True`` uses a sketch and needs no shuffle of values."""
+    """(column, unique_count) without missing values.
+
+    Exact counts read every column on its own, so that only its distinct values are shuffled and no row is
+    copied once per column. ``approx=True`` uses sketches and shuffles no values at all.
+    """
     cols = list(df.columns if cols is None else cols)
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    exprs = [fn(_hashable(df, c)).alias(f"{i}|unique_count") for i, c in enumerate(cols)]
-    return _one_row_to_long(df.agg(*exprs), cols, {"unique_count": "bigint"})
+    if approx:
+        exprs = [F.approx_count_distinct(_hashable(df, c)).alias(f"{i}|unique_count") for i, c in enumerate(cols)]
+        return _one_row_to_long(df.agg(*exprs), cols, {"unique_count": "bigint"})
+    parts = [
+        df.select(_hashable(df, c).alias("v")).distinct().agg(F.lit(c).alias("column"), F.count("v").alias("unique_count"))
+        for c in cols
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _hashable(df: DataFrame, c: str) -> Column:
@@ -175,7 +184,6 @@ def is_sorted(df: DataFrame, col: str, order_by: str | Sequence[str], sizing: Si
 PROFILE_FIELDS = {
     "missing_count": "bigint",
     "missing_fraction": "double",
-    "unique_count": "bigint",
     **NUMERIC_FIELDS,
     "num_rows": "bigint",
 }
@@ -190,20 +198,18 @@ def profile(
 ) -> DataFrame:
     """One row per column: type, missing and distinct counts, statistics, sample values, time order.
 
-    All counts and statistics come from one aggregation over the table.
+    Counts and statistics come from one aggregation over the table, distinct counts from one pass per column.
     """
     order, cols = as_list(order_by), df.columns
     first = _first_values(df, order, PROBE_ROWS, 5, cols)
     types = _types(df, first, PARSE_SHARE)
     n = F.count(F.lit(1))
-    fn = F.approx_count_distinct if approx else F.count_distinct
     exprs = []
     for i, c in enumerate(cols):
         gone = F.count_if(missing(df, c))
         exprs += [
             gone.alias(f"{i}|missing_count"),
             _fraction(gone, n).alias(f"{i}|missing_fraction"),
-            fn(_hashable(df, c)).alias(f"{i}|unique_count"),
             *_numeric_exprs(df, c, i),
             n.alias(f"{i}|num_rows"),
         ]
@@ -223,6 +229,7 @@ def profile(
         for i, c in enumerate(cols)
     ]
     out = _one_row_to_long(df.agg(*exprs), cols, PROFILE_FIELDS, known)
+    out = out.join(F.broadcast(distinct_stats(df, cols, approx)), "column")  # one row per column on both sides
     return out.select(
         F.lit(table_name).alias("table_name"),
         "ordinal",
