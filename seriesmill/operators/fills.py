@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import as_double, as_list, numeric_columns, present, quoted, string_columns
@@ -30,19 +30,26 @@ def _carry(bound: DataFrame, layout: Layout, aggs: dict[str, tuple[Column, str]]
     ``aggs = {name: (per-block aggregate, "last" | "first")}``. One row per block: bounded by the layout.
     """
     blocks = bound.filter(F.col(BLK) > 0).groupBy(*layout.series, BLK).agg(*[a.alias(n) for n, (a, _) in aggs.items()])
-    w = Window.partitionBy(*layout.series).orderBy(BLK) if layout.series else Window.orderBy(BLK)
+    w = Window.partitionBy(*layout.series)
     cols = []
     for name, (_, side) in aggs.items():
-        if side == "last":
-            frame = w.rowsBetween(Window.unboundedPreceding, -1)
-            cols.append(F.last(name, ignorenulls=True).over(frame).alias(name))
-        else:
-            frame = w.rowsBetween(1, Window.unboundedFollowing)
-            cols.append(F.first(name, ignorenulls=True).over(frame).alias(name))
+        order = F.col(BLK).asc() if side == "last" else F.col(BLK).desc()
+        frame = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        cols.append(F.last(name, ignorenulls=True).over(frame).alias(name))
     table = blocks.select(F.col(BLK).alias("__cb"), *cols)
     return bound.join(F.broadcast(table), F.col(BLK) == F.col("__cb"), "left").drop("__cb")
 
 
+def _running(layout: Layout) -> tuple[WindowSpec, WindowSpec]:
+    """Frames from the start of the block to the row, in order and in reverse.
+
+    Looking ahead is a running frame over the reverse order: a frame that ends in UNBOUNDED FOLLOWING would be
+    evaluated anew for every row.
+    """
+    start = Window.unboundedPreceding
+    return layout.window().rowsBetween(start, 0), layout.reverse_window().rowsBetween(start, 0)
+
+
 def fill_edges(df: DataFrame, cols: Sequence[str], layout: Layout, first: str = "forward", both: bool = True) -> DataFrame:
     """Fills nulls from the nearest row in the ``first`` direction and, if ``both``, then from the other one."""
     if not cols:
@@ -60,12 +67,12 @@ def fill_edges(df: DataFrame, cols: Sequence[str], layout: Layout, first: str =
             if "backward" in sides:
                 aggs[f"__b{i}"] = (F.min(at)["v"], "first")
         bound = _carry(bound, layout, aggs)
-    w = layout.window()
+    ahead, back = _running(layout)
     new = {}
     for i, c in enumerate(cols):
         near = {
-            "forward": [F.last(values[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))],
-            "backward": [F.first(values[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))],
+            "forward": [F.last(values[c], ignorenulls=True).over(ahead)],
+            "backward": [F.last(values[c], ignorenulls=True).over(back)],
         }
         if layout.cut:
             near["forward"].append(F.col(f"__f{i}")) if "forward" in sides else None
@@ -112,10 +119,11 @@ def interpolate(df, cols, order_by, direction="forward", partition_by=None, sizi
             aggs[f"__f{i}"] = (F.max(points[c]), "last")
             aggs[f"__b{i}"] = (F.min(points[c]), "first")
         bound = _carry(bound, layout, aggs)
+    ahead, back = _running(layout)
     shown, filled = [], {}
     for i, c in enumerate(cols):
-        prev = [F.last(points[c], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))]
-        nxt = [F.first(points[c], ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))]
+        prev = [F.last(points[c], ignorenulls=True).over(ahead)]
+        nxt = [F.last(points[c], ignorenulls=True).over(back)]
         if layout.cut:
             prev.append(F.col(f"__f{i}"))
             nxt.append(F.col(f"__b{i}"))

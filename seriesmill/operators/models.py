@@ -222,9 +222,14 @@ def fit_model(
         return _fit_kernel(train, features, target, full, seed)
     if name not in _REGISTRY:
         raise ValueError(f"unknown model {name!r}; available: {available_models()}")
-    ctx = context or training_context(train, features, target, task, seed)
-    pipeline = Pipeline(stages=[assembler(features), _REGISTRY[name](full, ctx)])
-    return FittedModel(name, target, list(features), pipeline.fit(train), None, full)
+    # MLlib passes over the rows many times; what an executor loses is computed again
+    rows = train.select(*dict.fromkeys([*features, target])).persist()
+    try:
+        ctx = context or training_context(rows, features, target, task, seed)
+        pipeline = Pipeline(stages=[assembler(features), _REGISTRY[name](full, ctx)])
+        return FittedModel(name, target, list(features), pipeline.fit(rows), None, full)
+    finally:
+        rows.unpersist()
 
 
 def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> FittedModel:
@@ -300,6 +305,14 @@ def _gamma(train: DataFrame, features: Sequence[str], gamma) -> float:
 
 
 def _fit_kernel(train: DataFrame, features, target: str, params: dict, seed: int) -> KernelModel:
+    train = train.select(*dict.fromkeys([*features, target])).persist()
+    try:
+        return _fit_kernel_rows(train, features, target, params, seed)
+    finally:
+        train.unpersist()
+
+
+def _fit_kernel_rows(train: DataFrame, features, target: str, params: dict, seed: int) -> KernelModel:
     kernel, wide, names = None, train, list(features)
     if params["kernel"] == "rbf":
         kernel = KernelFeatures(features, _gamma(train, features, params["gamma"]), params["n_features"], seed)
