@@ -11,7 +11,7 @@ from seriesmill.functions.columns import as_double
 
 SMALL_ROWS = 2_000_000  # up to here one exact `percentile` aggregate is cheap enough
 BRACKET_ROWS = 200_000  # values that a final bracket may hold
-_ACCURACY = 100_000
+_ACCURACY = 10_000
 
 
 def exact_quantiles(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.columns import as_list, hash_order, quoted
 from seriesmill.operators.joins import lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
-from seriesmill.operators.ranks import row_at, up_to
+from seriesmill.operators.ranks import hash_rows_at, row_at, up_to
 
 STRATEGIES = ("random", "stratified", "chronological", "group_kfold", "time_series_cv")
 MINIMUM_TEST_SAMPLES = 30
@@ -65,20 +65,25 @@ def _hashed(df: DataFrame, key: str | Sequence[str], seed: int) -> tuple[DataFra
     return df.withColumns({"__h": head, "__d": digest}), ["__h", "__d", *as_list(key)]
 
 
-def _by_cuts(df: DataFrame, order: Sequence[str], n: int, cuts: Sequence[tuple[str, int]], rest: str) -> Column:
+def _by_cuts(
+    df: DataFrame, order: Sequence[str], n: int, cuts: Sequence[tuple[str, int]], rest: str, hashed: bool = False
+) -> Column:
     """The part of each row: ``cuts`` are (name, rows) prefixes of the order, what follows is ``rest``."""
-    done, out, all_taken = 0, F, False
+    ends, done = [], 0  # (name, rank of the part's last row)
     for name, size in cuts:
-        if size <= 0:
-            continue
-        done += size
-        if done >= n:
-            out, all_taken = out.when(F.lit(True), name), True
-            break
-        out = out.when(up_to(order, row_at(df, order, done - 1, n)), name)
-    if out is F:
-        return F.lit(rest)
-    return out if all_taken else out.otherwise(F.lit(rest))
+        if size > 0 and done < n:
+            done = min(n, done + size)
+            ends.append((name, done - 1))
+    ranks = [rank for _, rank in ends if rank < n - 1]
+    if hashed and ranks:
+        rows = hash_rows_at(df, order[0], order, ranks, n)
+    else:
+        rows = [row_at(df, order, rank, n) for rank in ranks]
+    out = F
+    for (name, _), row in zip(ends, rows):
+        out = out.when(up_to(order, row), name)
+    last = ends[-1][0] if len(ends) > len(rows) else rest
+    return F.lit(last) if out is F else out.otherwise(F.lit(last))
 
 
 def split_random(
@@ -86,11 +91,12 @@ def split_random(
 ) -> DataFrame:
     """Test part first, then validation from the rest. ``mode="nested"`` takes ``fractions.val`` of the rest itself."""
     hashed, order = _hashed(df, key, seed)
+    order = order[1:]  # the digest orders the rows by itself
     n = df.count()
     n_test = math.ceil(n * fractions.test)
     share = fractions.val if mode == "nested" else fractions.val_of_rest
     n_val = math.ceil((n - n_test) * share)
-    part = _by_cuts(hashed, order, n, [("test", n_test), ("val", n_val)], "train")
+    part = _by_cuts(hashed, order, n, [("test", n_test), ("val", n_val)], "train", hashed=True)
     return hashed.withColumn("split", part).drop("__h", "__d")
 
 
@@ -170,7 +176,7 @@ def split_group(df: DataFrame, group: str, fractions: Fractions = Fractions(), s
     n = groups.count()
     n_test = math.ceil(n * fractions.test)
     n_val = math.ceil((n - n_test) * fractions.val_of_rest)
-    part = _by_cuts(groups, ["__h", "__d", "__g"], n, [("test", n_test), ("val", n_val)], "train")
+    part = _by_cuts(groups, ["__d", "__g"], n, [("test", n_test), ("val", n_val)], "train", hashed=True)
     table = groups.select("__g", "__n", part.alias("split"))
     return lookup_join(df.withColumn("__g", quoted(group)), table, "__g", "__n").drop("__g")
 
