@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.columns import as_double, as_list, quoted
 from seriesmill.operators.joins import attach_row, lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
+from seriesmill.operators.quantiles import grouped_quantiles
 
 MIN_HISTORY = 30
 CLIP = 0.99
@@ -158,19 +159,14 @@ def bootstrap_paths(
 
 def point_forecast(paths: DataFrame, keys: Sequence[str] = ("series", "step")) -> DataFrame:
     """Median over the sample paths of every step."""
-    return paths.groupBy(*keys).agg(F.median("value").alias("y_pred"))
+    return grouped_quantiles(paths, keys, "value", [0.5], ["y_pred"])
 
 
 def quantile_forecast(
     paths: DataFrame, qs: Sequence[float] = (0.1, 0.5, 0.9), keys: Sequence[str] = ("series", "step")
 ) -> DataFrame:
-    """Linear quantiles over the sample paths of every step, as columns q10, q50, ...
-
-    Equal values are counted together before the shuffle, so the aggregate holds the paths of one step only.
-    """
-    qs = list(qs)
-    out = paths.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit(float(q)) for q in qs])).alias("__q"))
-    return out.select(*keys, *[F.col("__q")[i].alias(f"q{round(q * 100):02d}") for i, q in enumerate(qs)])
+    """Linear quantiles over the sample paths of every step, as columns q10, q50, ..."""
+    return grouped_quantiles(paths, keys, "value", qs, [f"q{round(q * 100):02d}" for q in qs])
 
 
 def recent_context(df, series, order_by, n: int = CONTEXT, sizing=None) -> DataFrame:

@@ -81,3 +81,47 @@ def _by_value_counts(part: DataFrame, v: str, rank: int) -> float:
     counts = part.groupBy(v).agg(F.count(F.lit(1)).alias("n"))
     upto = fit_layout(counts, [v]).running_sum(counts, {"upto": "n"})
     return upto.filter(F.col("upto") > rank).agg(F.min(v)).first()[0]
+
+
+GROUP_ROWS = 1_000_000  # groups up to this size may be held by one aggregate
+
+
+def grouped_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    group_rows: int | None = None,
+    sizing=None,
+) -> DataFrame:
+    """(keys, names): exact linear quantiles per group.
+
+    While the largest group is small the built-in aggregate is used. Beyond that equal values are counted
+    together, ranks come from running totals over range blocks, and no task ever holds a whole group.
+    """
+    from seriesmill.operators.joins import lookup_join
+    from seriesmill.operators.ordering import fit_layout
+
+    keys, probs = list(keys), [float(p) for p in probs]
+    limit = GROUP_ROWS if group_rows is None else group_rows
+    rows = df.select(*keys, as_double(df, value).alias("__v"))
+    largest = rows.groupBy(*keys).agg(F.count("__v").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= limit:
+        plist = F.array(*[F.lit(p) for p in probs])
+        out = rows.groupBy(*keys).agg(F.percentile("__v", plist).alias("__q"))
+        return out.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    counts = rows.filter(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__rows"))
+    upto = fit_layout(counts, ["__v"], keys, 0, sizing).running_sum(counts, {"__upto": "__n"})
+    ranked = lookup_join(upto, totals, keys, "__rows")
+    picks = []
+    for i, p in enumerate(probs):
+        place = (F.col("__all") - 1) * F.lit(p)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
+            picks.append(F.max(F.when(here, F.col("__v"))).alias(f"__{side}{i}"))
+        picks.append((F.max(place) - F.floor(F.max(place))).alias(f"__w{i}"))
+    out = ranked.groupBy(*keys).agg(*picks)
+    blend = lambda i: F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__w{i}")
+    return out.select(*keys, *[blend(i).alias(n) for i, n in enumerate(names)])

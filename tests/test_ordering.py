@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesmill.operators.ordering import Sizing, fit_layout
-from seriesmill.operators.quantiles import exact_quantiles
+from seriesmill.operators.quantiles import exact_quantiles, grouped_quantiles
 from seriesmill.operators.ranks import row_at
 
 SMALL = Sizing(target_rows=60, min_rows=10, hot_rows=40)
@@ -103,3 +103,11 @@ def test_row_at_rank(frames, rank):
     df, order, _ = frames["hot time"]
     want = df.orderBy(*order).select(*order).collect()[rank]
     assert row_at(df, order, rank, take_rows=20) == want
+
+
+def test_grouped_quantiles_of_large_groups(spark):
+    df = spark.range(1500).selectExpr("IF(id % 3 = 0, NULL, id % 7) AS g", "CAST(id * 37 % 101 AS DOUBLE) AS v")
+    args = (["g"], "v", [0.1, 0.5, 0.75, 1.0], ["a", "b", "c", "d"])
+    small = grouped_quantiles(df, *args)
+    large = grouped_quantiles(df, *args, group_rows=0, sizing=Sizing(20, 5, 30))
+    assert rows(small, small.columns) == rows(large, small.columns)
