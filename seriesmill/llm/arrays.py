@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20  # bytes whose arrays are in memory together; one longer text is a slice of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -18,7 +19,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive parts of a string array with about ``limit`` bytes each."""
     if len(texts) == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:]):
@@ -28,7 +29,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes in a row and the ends of the texts (first entry 0); a null text has none."""
-    raw = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+    raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
     if raw.offset:
         raw = pa.concat_arrays([raw])
     ends = np.frombuffer(raw.buffers()[1], np.int64)[: len(raw) + 1]

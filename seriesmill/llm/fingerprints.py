@@ -14,6 +14,7 @@ read. Memory is bounded by slices of texts; one text is held whole.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def merged(parts: DataFrame, by: str, sketch: str = "sketch", k: int = K, pieces
     """
 
     @F.pandas_udf("string")
-    def union(values) -> str:  # a grouped aggregate over one bounded piece
+    def union(values: pd.Series) -> str:  # a grouped aggregate over one bounded piece
         rows = [_parsed(v) for v in values if v]
         return as_text(np.unique(np.concatenate(rows))[:k]) if rows else ""
 

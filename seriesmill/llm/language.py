@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ _LETTER = regex.compile(r"\p{L}")
 def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per size the codes of all letter n-grams (bytes of lower-case text, a blank for each run of others) and the
     ascending numbers of their texts."""
-    text = pa.compute.utf8_lower(pa.compute.fill_null(texts.cast(pa.large_string()), ""))
+    text = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     body, ends = arrays.joined(text)
     letter = (body >= 128) | ((body >= 97) & (body <= 122))
     keep = letter.copy()

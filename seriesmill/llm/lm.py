@@ -31,7 +31,7 @@ from seriesmill.llm.common import ready
 
 CLASSES, PER_CLASS, WIDTH, REACH = 32, 32, 16, 2
 SHARED = 256  # ids that words outside the vocabulary are hashed to
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 2048, 0.5
+STRIDE, ROUNDS, BATCH, RATE = 8, 2, 256, 1.0
 SIDES = [i for i in range(-REACH, REACH + 1) if i]
 _CHUNKS = 64
 

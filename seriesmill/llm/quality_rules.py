@@ -109,8 +109,12 @@ def verdicts(entries: DataFrame, policies: Sequence[Policy]) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, policy: Policy, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns."""
-    return ledger(docs, id_col, text_col, whole=True).filter(~fails(policy)).select("row.*")
+    """The rows of ``docs`` that the policy keeps, with all their columns.
+
+    The row number keeps the optimizer from copying the measures into the filter, where they would run many times.
+    """
+    entries = ledger(docs, id_col, text_col, whole=True).withColumn("nth", F.monotonically_increasing_id())
+    return entries.filter(~fails(policy) & (F.col("nth") >= 0)).select("row.*")
 
 
 def ablation(entries: DataFrame, policy: Policy) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.llm.conftest import PROSE
 from seriesmill.llm import bpe, fingerprints, language, lm, mixing, quality_model, quality_rules, queries, repeats, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -59,9 +60,9 @@ def test_ledger_policies(make):
 
 def test_quality_separates_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(labels, "doc_id")
+    got = queries.op1_quality_rules(spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("n_words >= 50")
     rate = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert rate[1] > 0.97 and rate[0] < 0.4
+    assert rate[1] > 0.98 and rate[0] < 0.4, rate
 
 
 # ---- 2 -----------------------------------------------------------------------------------------------------------
@@ -117,7 +118,8 @@ def test_repeats_odd(odd, spark):
     for r in got:
         by_id[r.doc_id].append(r)
     assert by_id[1][0].n_bytes == 0 and by_id[2][0].spans == []
-    assert sum(bool(r.spans) for r in by_id[4]) == 0  # equal rows are one document
+    n = len(PROSE.encode())
+    assert [[(s.start, s.end) for s in r.spans] for r in by_id[4] if r.n_bytes == 3 * n] == [[(n, 3 * n)]] * 2  # equal rows are one document
     assert [(s.start, s.end) for s in by_id[5][0].spans] == [(0, by_id[5][0].n_bytes)]
     assert [(s.start, s.end) for s in by_id[7][0].spans] == [(1, 700)]
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
@@ -333,7 +335,8 @@ def test_simhash_odd(odd):
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     assert by_id[1].fp == by_id[2].fp == by_id[3].fp == 0 and by_id[3].component_id == 1
     kept = simhash.one_of_each(odd).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({r.component_id for r in got if r.component_id is not None})
+    assert len(kept) == len({r.root for r in got})
+    assert {r.doc_id for r in kept} == {r.component_id for r in got} and sum(r.doc_id == 4 for r in kept) == 2
     assert simhash.one_of_each(odd.limit(0)).count() == 0
 
 
