@@ -3,10 +3,10 @@
 A byte goes when it is covered by a string of ``length`` bytes (100) that also starts earlier: in a document of smaller
 id, or earlier in the same one. Texts are UTF-8 bytes; strings never cross documents and are judged on the input.
 
-1. Every window of ``length`` bytes names an anchor, the leftmost of its 32-byte grams with the smallest hash. Equal
+1. Every window of ``length`` bytes names an anchor, the leftmost of its 24-byte grams with the smallest hash. Equal
    windows name equal anchors, so only anchors that occur twice matter, and all equal windows meet at one anchor.
-2. Around each such anchor lies the context of all windows that can name it (168 bytes at most). Equal contexts are one:
-   all but the first are covered whole. This takes up exact copies and shared passages before anything is grouped.
+2. Around each such anchor lies the context of all windows that can name it (176 bytes at most). Equal contexts (128 bits of
+   hashes) are one: all but the first are covered whole. This takes up exact copies and shared passages before anything is grouped.
 3. The different contexts of an anchor form an enhanced suffix array (prefix doubling). A stack scan over its common
    prefix lengths yields the interval tree; an interval whose suffixes are preceded by different bytes is a maximal
    repeat, and all its occurrences but the earliest are covered.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from seriesmill.llm import arrays
 from seriesmill.llm.common import ready, settle, utf8
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 GROUP_LIMIT = 1500
 _PIECE = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)  # low bits of a packed gram: its place in the piece
@@ -43,31 +43,33 @@ KEY = ["ord", "var"]
 # ---- anchors -----------------------------------------------------------------------------------------------------
 
 
-def anchors(body: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors that the windows of all texts name."""
-    span = length - GRAM + 1  # grams of a window
-    places, hashes = [], []
+def anchors(body: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors that the windows of all texts name, and hashes of their contexts."""
+    span, reach = length - GRAM + 1, length - GRAM  # grams of a window; bytes of a context before its anchor
+    places, grams, contexts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for at in range(0, max(0, len(body) - length + 1), _PIECE):
-        piece = body[at : at + _PIECE + length - 1]
+        low = max(0, at - reach)
+        piece = body[low : at + _PIECE + 2 * length]
         prefix = arrays.prefix_hash(piece)
         start = np.arange(len(piece) - GRAM + 1)
         gram = arrays.range_hash(prefix, start, start + GRAM)
-        low = (gram & ~_PLACE) | start.astype(np.uint64)
+        least = (gram & ~_PLACE) | start.astype(np.uint64)
         width = 1
         while width * 2 <= span:
-            low = np.minimum(low[:-width], low[width:])
+            least = np.minimum(least[:-width], least[width:])
             width *= 2
         n = len(piece) - length + 1
-        low = np.minimum(low[:n], low[span - width : span - width + n])
-        first = np.arange(at, at + n)
-        inside = first + length <= ends[np.searchsorted(ends, first, side="right")]
-        chosen = (low[inside] & _PLACE).astype(np.int64)
-        chosen = np.unique(chosen)
-        places.append(chosen + at)
-        hashes.append(gram[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+        least = np.minimum(least[:n], least[span - width : span - width + n])
+        first = np.arange(n) + low
+        inside = (first >= at) & (first < at + _PIECE) & (first + length <= ends[np.searchsorted(ends, first, side="right")])
+        chosen = np.unique((least[inside] & _PLACE).astype(np.int64))
+        doc = np.searchsorted(ends, chosen + low, side="right") - 1
+        begin = np.maximum(chosen - reach, ends[doc] - low)
+        around = arrays.range_hash(prefix, begin, np.minimum(chosen + length, ends[doc + 1] - low))
+        places.append(chosen + low)
+        grams.append(gram[chosen])
+        contexts.append(arrays.mix64(around ^ (chosen - begin).astype(np.uint64)))
+    return np.concatenate(places), np.concatenate(grams), np.concatenate(contexts)
 
 
 def _anchor_rows(length: int):
@@ -78,27 +80,28 @@ def _anchor_rows(length: int):
                 keys = batch.slice(at, len(part))
                 at += len(part)
                 body, ends = arrays.joined(part)
-                place, gram = anchors(body, ends, length)
+                place, gram, context = anchors(body, ends, length)
                 doc = np.searchsorted(ends, place, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), *[keys.column(c).take(pa.array(doc)) for c in KEY], pa.array((place - ends[doc]).astype(np.int32))],
-                    ["gram", *KEY, "pos"],
-                )
+                right = np.minimum(ends[doc + 1] - place, length)
+                columns = [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *[keys.column(c).take(pa.array(doc)) for c in KEY]]
+                columns += [pa.array((place - ends[doc]).astype(np.int32)), pa.array(right.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "id", *KEY, "pos", "right"])
 
     return rows
 
 
 def _contexts(length: int):
+    """The bytes of the contexts that are wanted of each text."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {c: [] for c in ("gram", "id", "left", "context", *KEY, "pos")}
+        out: dict[str, list] = {c: [] for c in ("gram", "kinds", "left", "context", *KEY, "pos")}
         for batch in batches:
             for text, ord_, var, at in zip(*[batch.column(c) for c in ("text", *KEY, "at")]):
                 raw, ord_, var = text.as_py().encode("utf-8", "replace"), ord_.as_py(), var.as_py()
-                places = at.values.field("pos").to_numpy(), at.values.field("gram").to_numpy()
-                for pos, gram in zip(*[x.tolist() for x in places]):
+                wanted = (at.values.field(c).to_pylist() for c in ("pos", "gram", "kinds"))
+                for pos, gram, kinds in zip(*wanted):
                     left = min(pos, length - GRAM)
-                    context = raw[pos - left : pos + length]
-                    for c, v in zip(out, (gram, xxhash.xxh3_128_digest(context, left), left, context, ord_, var, pos)):
+                    for c, v in zip(out, (gram, kinds, left, raw[pos - left : pos + length], ord_, var, pos)):
                         out[c].append(v)
                 if len(out["pos"]) >= 20_000:
                     yield _batch(out)
@@ -109,7 +112,7 @@ def _contexts(length: int):
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    types = {"gram": pa.int64(), "id": pa.binary(), "left": pa.int32(), "context": pa.binary(), "ord": pa.int64(), "var": pa.int32(), "pos": pa.int32()}
+    types = {"gram": pa.int64(), "kinds": pa.int64(), "left": pa.int32(), "context": pa.binary(), "ord": pa.int64(), "var": pa.int32(), "pos": pa.int32()}
     batch = pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in out.items()], list(out))
     for v in out.values():
         v.clear()
@@ -278,28 +281,24 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP
     """``ord``, ``var``, ``start``, ``end`` of covered byte ranges; ranges may overlap. ``docs`` comes from ``keyed``."""
     place = F.struct(*KEY, "pos")
     named = docs.filter(F.octet_length("text") >= length).select("text", *KEY)
-    rows = named.mapInArrow(_anchor_rows(length), "gram bigint, ord bigint, var int, pos int").repartition("gram")
-    twice = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    todo = rows.join(twice, "gram", "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("pos", "gram")).alias("at"))  # bounded by a text
-    schema = "gram bigint, id binary, left int, context binary, ord bigint, var int, pos int"
-    found = settle(named.join(todo, KEY).select("text", *KEY, "at").mapInArrow(_contexts(length), schema), "contexts")
-
-    firsts = found.groupBy("gram", "id").agg(
-        F.min(place).alias("p"), F.first("left").alias("left"), F.first("context").alias("context"), F.count("*").alias("n")
-    )
-    firsts = settle(firsts, "contexts")
-    again = firsts.filter("n > 1").select("id", "p")
-    copies = found.join(again, "id").filter(place != F.col("p"))
-    start = F.col("pos") - F.col("left")
-    copies = copies.select(*KEY, start.alias("start"), (start + F.octet_length("context")).alias("end"))
-
-    kinds = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    work = settle(firsts.select("gram", "left", "context", "p.*").join(kinds, "gram"), "contexts")
+    rows = named.mapInArrow(_anchor_rows(length), "gram bigint, id bigint, ord bigint, var int, pos int, right int")
+    same, anchor = Window.partitionBy("gram", "id").orderBy(*KEY, "pos"), Window.partitionBy("gram")
+    rows = rows.repartition("gram").withColumn("nth", F.dense_rank().over(same))  # one exchange and one sort for all three
+    rows = rows.withColumn("kind", F.dense_rank().over(anchor.orderBy("id"))).withColumn("kinds", F.max("kind").over(anchor))
+    rows = rows.filter("nth > 1 OR kinds > 1")
+    known = F.col("nth") == 1  # a context that occurred before is covered whole and needs no further look
+    found = settle(rows.select(F.when(known, F.col("gram")).alias("gram"), F.when(known, F.col("kinds").cast("long")).alias("kinds"), *KEY, "pos", "right"), "contexts")
+    start = F.col("pos") - F.least("pos", F.lit(length - GRAM))
+    copies = found.filter("gram IS NULL").select(*KEY, start.alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+
+    todo = found.filter("gram IS NOT NULL").groupBy(*KEY).agg(F.collect_list(F.struct("pos", "gram", "kinds")).alias("at"))  # bounded by a text
+    schema = "gram bigint, kinds bigint, left int, context binary, ord bigint, var int, pos int"
+    work = settle(named.join(todo, KEY).select("text", *KEY, "at").mapInArrow(_contexts(length), schema), "contexts")
     runs = "ord bigint, var int, start int, end int"
     few = work.filter(F.col("kinds") <= group_limit).drop("kinds").repartition("gram").sortWithinPartitions("gram")
     trees = few.mapInArrow(_tree_runs(length), runs)
 
-    crowded = work.filter(F.col("kinds") > group_limit).repartition(*KEY, "pos")
+    crowded = work.filter(F.col("kinds") > group_limit)
     windows = settle(crowded.mapInArrow(_windows(length), "id binary, ord bigint, var int, pos int"), "windows")
     least = windows.groupBy("id").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rim = windows.join(least, "id").filter(place != F.col("p"))
