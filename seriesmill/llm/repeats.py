@@ -33,7 +33,7 @@ from seriesmill.llm import arrays
 from seriesmill.llm.common import ready, settle, utf8
 
 LENGTH, GRAM = 100, 24
-GROUP_LIMIT = 1500
+GROUP_LIMIT = 8192  # contexts whose suffix array (about 200 MB of arrays) fits a Python worker
 _PIECE = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)  # low bits of a packed gram: its place in the piece
 _CHUNK = 512 << 10
