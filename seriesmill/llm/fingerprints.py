@@ -210,11 +210,12 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_next", F.lead("text").over(own))
     kept = F.substr("text", F.lit(1), (F.char_length("text") - cut).cast("int"))
     edited = F.concat(kept, F.coalesce(F.substr("_next", F.lit(1), cut), F.lit("")))
-    rows = rows.withColumn("edited", F.when(~F.col("_extra"), edited)).drop("_next")
-    rows = rows.withColumns({"sketch": sketch_of(F.col("text"), width, k), "edited_sketch": sketch_of(F.col("edited"), width, k)})
-    rows = rows.withColumn("_next", F.lead("sketch").over(own)).filter(~F.col("_extra"))
+    rows = rows.withColumn("edited", edited).filter(~F.col("_extra"))
+    # the next text is sketched once more here: carrying its sketch over would shuffle all texts again
+    made = {name: sketch_of(F.col(c), width, k) for name, c in (("sketch", "text"), ("edited_sketch", "edited"), ("_next_sketch", "_next"))}
+    rows = rows.withColumns(made)
     return rows.select(
         "doc_id", "text", "edited", "sketch", "edited_sketch",
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("_next"), k).alias("near_next"),
+        resemblance(F.col("sketch"), F.col("_next_sketch"), k).alias("near_next"),
     )
