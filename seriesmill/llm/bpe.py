@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from functools import cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,8 @@ from seriesmill.llm.common import ready
 
 # Fixed value: the pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 200_000
+MEMO = 500_000
+_ID_BITS = 32  # room for an id in a pair's number
 _LONG = 64  # longer pre-tokens are not remembered
 
 
@@ -64,10 +67,10 @@ class Bpe:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         self.start = [vocab[c] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}  # pair of ids -> rank, id of the pair's union
+        self.merges: dict[int, tuple[int, int]] = {}  # pair of ids in one number -> rank, id of the pair's union
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << _ID_BITS | vocab[b]] = rank, vocab[a + b]
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -79,26 +82,34 @@ class Bpe:
 
     def merge(self, token: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        ids: list[int | None] = [self.start[b] for b in token.encode("utf-8", "replace")]
-        before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
-        merges, end = self.merges, len(ids)
-        queue = [(*merges[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        start, found = self.start, self.merges.get
+        ids = [start[b] for b in token.encode("utf-8", "replace")]
+        end = len(ids)
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+        shift = end.bit_length()  # queue entries: rank, then place of the pair's left symbol
+        place = (1 << shift) - 1
+        queue = [m[0] << shift | i for i in range(end - 1) if (m := found(ids[i] << _ID_BITS | ids[i + 1]))]
         heapq.heapify(queue)
         while queue:
-            _, union, i, a, b = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & place
             j = after[i]
-            if ids[i] != a or j >= end or ids[j] != b:
+            if ids[i] < 0 or j >= end:
+                continue  # stale: the symbol was merged into its neighbour, or has none any more
+            m = found(ids[i] << _ID_BITS | ids[j])
+            if m is None or m[0] != entry >> shift:
                 continue  # stale: one of the two was merged meanwhile
-            ids[i], ids[j], k = union, None, after[j]
-            after[i] = k
+            union = ids[i] = m[1]
+            ids[j] = -1
+            k = after[i] = after[j]
             if k < end:
                 before[k] = i
-                if found := merges.get((union, ids[k])):
-                    heapq.heappush(queue, (*found, i, union, ids[k]))
+                if m := found(union << _ID_BITS | ids[k]):
+                    heapq.heappush(queue, m[0] << shift | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], union))):
-                heapq.heappush(queue, (*found, h, ids[h], union))
-        return tuple(i for i in ids if i is not None)
+            if h >= 0 and (m := found(ids[h] << _ID_BITS | union)):
+                heapq.heappush(queue, m[0] << shift | h)
+        return tuple([i for i in ids if i >= 0])
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -123,17 +134,13 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def of(texts: pa.Array) -> pa.Array:
-        bpe, ids, ends, decoded = load(path), [], [0], []
-        chunks = []
+        bpe, ids, ends, decoded = load(path), array("i"), [0], []
         for t in texts:
             own = bpe.encode(t.as_py() or "")
             decoded.append(bpe.decode(own))
             ids.extend(own)
-            ends.append(ends[-1] + len(own))
-            if len(ids) >= 1 << 16:
-                chunks.append(pa.array(ids, pa.int32()))
-                ids = []
-        values = pa.concat_arrays([*chunks, pa.array(ids, pa.int32())])
+            ends.append(len(ids))
+        values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
 
