@@ -17,32 +17,47 @@ _NULL_CODE = 1.7e308
 
 
 def row_at(df: DataFrame, order_by: Sequence[str], rank: int, n: int | None = None, take_rows: int | None = None) -> Row:
-    """The order columns of the row at 0-based ``rank``; nulls last, ``order_by`` unique."""
+    """The order columns of the row at 0-based ``rank``; nulls last.
+
+    One order column after the other is pinned to its value at that rank; a later column is looked at only among rows
+    that are equal in all earlier ones. Quantiles of a numeric code narrow a column quickly; where codes no longer tell
+    values apart (long common heads of strings, a rank between two frequent values) real values of the column split it.
+    """
     limit = TAKE_ROWS if take_rows is None else take_rows
     order = list(order_by)
     part = df.select(*order)
-    n = part.count() if n is None else n
-    size = n
+    size = part.count() if n is None else n
     for col in order:
-        code = F.coalesce(order_code(df, col), F.lit(_NULL_CODE))
-        while size > limit:
-            want, eps = (rank + 0.5) / size, 2.0 / _ACCURACY
-            ends = F.array(F.lit(max(0.0, want - eps)), F.lit(min(1.0, want + eps)))
-            lo, hi = part.agg(F.percentile_approx(code, ends, F.lit(_ACCURACY))).first()[0]
-            lo = float("-inf") if want - eps <= 0 else lo
-            hi = float("inf") if want + eps >= 1 else hi
-            inside = code.between(lo, hi)
-            under, within, distinct = part.agg(
-                F.count_if(code < lo), F.count_if(inside), F.min(F.when(inside, code)) < F.max(F.when(inside, code))
-            ).first()
-            if not under <= rank < under + within or within == size:
-                break  # cannot be narrowed by this column
-            part, rank, size = part.filter(inside), rank - under, within
-            if not distinct:
-                break  # one value left: go on with the next order column
+        c, code, step = quoted(col), F.coalesce(order_code(df, col), F.lit(_NULL_CODE)), 0
+        narrow_by_code, pinned = True, False
+        while size > limit and not pinned:
+            if narrow_by_code:
+                want, eps = (rank + 0.5) / size, 2.0 / _ACCURACY
+                ends = F.array(F.lit(max(0.0, want - eps)), F.lit(min(1.0, want + eps)))
+                lo, hi = part.agg(F.percentile_approx(code, ends, F.lit(_ACCURACY))).first()[0]
+                lo = float("-inf") if want - eps <= 0 else lo
+                hi = float("inf") if want + eps >= 1 else hi
+                inside = code.between(lo, hi)
+                under, within = part.agg(F.count_if(code < lo), F.count_if(inside)).first()
+                narrow_by_code = under <= rank < under + within and within < size
+                if narrow_by_code:
+                    part, rank, size = part.filter(inside), rank - under, within
+                continue
+            step += 1
+            pivot = part.agg(F.min_by(c, F.when(c.isNotNull(), F.xxhash64(c, F.lit(step))))).first()[0]
+            if pivot is None:
+                break  # only nulls are left: equal in this column
+            v = F.lit(pivot)
+            under, same = part.agg(F.count_if(c < v), F.count_if(c == v)).first()
+            if rank < under:
+                part, size = part.filter(c < v), under
+            elif rank < under + same:
+                part, rank, size, pinned = part.filter(c == v), rank - under, same, True
+            else:
+                part, rank, size = part.filter((c > v) | c.isNull()), rank - under - same, size - under - same
         if size <= limit:
-            break
-    return part.orderBy(*ascending(order)).offset(rank).limit(1).first()
+            return part.orderBy(*ascending(order)).offset(rank).limit(1).first()
+    return part.limit(1).first()  # all rows left are equal in every order column
 
 
 def up_to(order_by: Sequence[str], row: Row) -> Column:
