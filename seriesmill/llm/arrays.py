@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # bytes whose arrays are in memory together; one longer text is a slice of its own
+SLICE_BYTES = 512 << 10  # bytes whose arrays are in memory together; one longer text is a slice of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True

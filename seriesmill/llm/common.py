@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"  # what separates words
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_BATCH_LIMIT = 16 << 20  # bytes of text that a Python worker gets at once, unless the session says less
+_BATCH_LIMIT = 8 << 20  # bytes of text that a Python worker gets at once, unless the session says less
 _SHIPPED: set[str] = set()
 
 
