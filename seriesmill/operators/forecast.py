@@ -128,7 +128,8 @@ def bootstrap_paths(
 ) -> DataFrame:
     """(series, step, sample, value): sample paths with shocks redrawn from the series' own residuals.
 
-    The drawn residual is a hash of (seed, series, sample, step), so a rerun gives the same paths.
+    The drawn residual is a hash of (seed, series, sample, step), so a rerun gives the same paths. A series without
+    parameters or residuals (a short one) keeps its last value on every path.
     """
     pool = fit_layout(residuals, order_by, [series], 0, sizing).position(residuals, "__i").select(series, "__i", "residual")
     sizes = residuals.groupBy(series).agg(F.count(F.lit(1)).alias("__m"))
@@ -152,9 +153,14 @@ def bootstrap_paths(
         return F.struct(y.alias("y"), d.alias("d"), e.alias("e"), F.concat(acc["out"], F.array(y)).alias("out"))
 
     values = F.aggregate("shocks", state0, step, lambda acc: acc["out"])
-    return joined.select(series, "sample", F.posexplode(values).alias("__s", "value")).select(
+    out = joined.select(series, "sample", F.posexplode(values).alias("__s", "value")).select(
         series, (F.col("__s") + 1).alias("step"), "sample", "value"
     )
+    fitted = F.col("phi").isNotNull() & F.col("__m").isNotNull()
+    still = fit.join(sizes, series, "left").filter(~fitted)
+    still = still.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    still = still.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return out.unionByName(still.select(series, "step", "sample", F.col("y_last").alias("value")))
 
 
 def point_forecast(paths: DataFrame, keys: Sequence[str] = ("series", "step")) -> DataFrame:

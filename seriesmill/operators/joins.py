@@ -11,7 +11,7 @@ from seriesmill.functions.columns import as_list, quoted
 
 BROADCAST_ROWS = 500_000  # narrow lookup tables up to this many rows are broadcast
 HOT_SHARE = 1_000  # a key with more than 1/HOT_SHARE of the rows is salted
-SALTS = 64
+BROADCAST_BYTES = 64 << 20  # and up to this many bytes of text or binary values
 
 
 def lookup_join(
@@ -20,12 +20,14 @@ def lookup_join(
     """Left join of ``df`` with ``table`` on ``key`` (null matches null), skew-safe.
 
     ``table`` holds one row per key and the number of rows of ``df`` with that key in ``weight``. It is
-    broadcast while it is small. Beyond that both sides are shuffled; rows of frequent keys are spread over
-    ``SALTS`` partitions and only the matching lookup rows are copied to each of them.
+    broadcast while its rows and the bytes of its texts are few. Beyond that both sides are shuffled; rows of a
+    frequent key are spread over as many partitions as its weight holds shares of 1/HOT_SHARE, and only the matching lookup rows are copied to each of them.
     """
     keys = as_list(key)
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    rows, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    long = [quoted(f.name) for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in long), F.lit(0)).cast("long"))
+    rows, total, size = table.agg(F.count(F.lit(1)), F.sum(weight), size).first()
     rest = [quoted(c) for c in table.columns if c not in keys and c != weight]
     names = [quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)]
 
@@ -36,18 +38,19 @@ def lookup_join(
         return test
 
     gone = [f"__k{i}" for i in range(len(keys))]
-    if rows <= limit:
+    if rows <= limit and (size or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(table.select(*names, *rest)), same(), "left").drop(*gone)
     hot_from = max(1, total // HOT_SHARE)
     is_hot = F.col(weight) > hot_from
-    hot = table.filter(is_hot).select(*[quoted(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
+    salts = F.ceil(F.col(weight) / hot_from).cast("int")  # at most about HOT_SHARE for all keys together
+    hot = table.filter(is_hot).select(*[quoted(k).alias(f"__h{i}") for i, k in enumerate(keys)], salts.alias("__hot"))
     # at most HOT_SHARE keys can hold more than 1/HOT_SHARE of the rows each
     left = df.join(F.broadcast(hot), same("__h"), "left").drop(*[f"__h{i}" for i in range(len(keys))])
     plain = [quoted(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
     # content and input partition: repeatable when a task is retried, and exact copies still spread out
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(SALTS)).cast("int")
-    left = left.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.col("__hot")).cast("int")
+    left = left.withColumn("__salt", F.coalesce(spread, F.lit(0))).drop("__hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     salted = table.select(*names, *rest, F.explode(copies).alias("__rs"))
     return left.join(salted, same() & (F.col("__salt") == F.col("__rs")), "left").drop(*gone, "__rs", "__salt")
 

@@ -24,6 +24,7 @@ from seriesmill.functions.columns import (
 )
 from seriesmill.operators.joins import lookup_join
 from seriesmill.operators.quantiles import exact_quantiles
+from seriesmill.session import materialize
 
 
 @dataclass
@@ -296,7 +297,7 @@ def clip_outliers_if(df: DataFrame, cols: Sequence[str], issues: Sequence[str] |
 
 # ---------------------------------------------------------------- encoding
 
-INLINE_CLASSES = 1_000  # encodings up to this size are kept as fitted parameters
+INLINE_CLASSES, INLINE_BYTES = 1_000, 256  # encodings up to this size are kept as fitted parameters
 
 
 def label_table(df: DataFrame, col: str) -> DataFrame:
@@ -314,22 +315,25 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if is_numeric(field_type(df, c)):
             continue
         text = F.coalesce(F.when(~missing(df, c), quoted(c)).cast("string"), F.lit("nan"))
-        table = label_table(df, c)
-        joined = lookup_join(df.withColumn("__lv", text), table.withColumnRenamed("value", "__lv"), "__lv", "n")
-        df = joined.select(*[F.col("code").alias(n) if n == c else quoted(n) for n in df.columns])
+        df = _join_codes(df, c, text, materialize(label_table(df, c)))
     return df
 
 
-def fit_label_encode(df: DataFrame, cols: Sequence[str], max_classes: int = INLINE_CLASSES) -> Fitted:
-    """Encodings of text columns with at most ``max_classes`` classes, for reuse on other frames and streams."""
+def fit_label_encode(df: DataFrame, cols: Sequence[str], inline: int = INLINE_CLASSES) -> Fitted:
+    """Encodings of text columns, for reuse on other frames and streams.
+
+    Up to ``inline`` classes of up to ``INLINE_BYTES`` bytes are kept as values; beyond that the codes stay a table,
+    written once, that is joined. The codes are the same either way.
+    """
     params: dict[str, dict] = {}
     for c in cols:
         if is_numeric(field_type(df, c)):
             continue
         text = F.coalesce(F.when(~missing(df, c), quoted(c)).cast("string"), F.lit("nan"))
-        seen = [r[0] for r in df.select(text.alias("v")).distinct().limit(max_classes + 1).collect()]
-        if len(seen) > max_classes:
-            params[c] = {"skipped_reason": "too many classes"}
+        short = F.when(F.octet_length("v") <= INLINE_BYTES, F.col("v"))
+        seen = [r[0] for r in df.select(text.alias("v")).distinct().select(short).limit(inline + 1).collect()]
+        if len(seen) > inline or None in seen:
+            params[c] = {"lookup": materialize(label_table(df, c))}
         else:
             params[c] = {"encoding": {v: i for i, v in enumerate(sorted(seen, key=lambda t: t.encode()))}}
     return Fitted("label_encode", params)
@@ -340,11 +344,21 @@ def apply_label_encode(df: DataFrame, fitted: Fitted) -> DataFrame:
     new = {}
     for c in fitted.columns:
         text = F.coalesce(quoted(c).cast("string"), F.lit("nan"))
-        pairs = [F.lit(x) for item in fitted.params[c]["encoding"].items() for x in item]
-        new[c] = F.try_element_at(F.create_map(*pairs), text).cast("bigint")
+        if "lookup" in fitted.params[c]:
+            df = _join_codes(df, c, text, fitted.params[c]["lookup"])
+        elif fitted.params[c]["encoding"]:
+            pairs = [F.lit(x) for item in fitted.params[c]["encoding"].items() for x in item]
+            new[c] = F.try_element_at(F.create_map(*pairs), text).cast("bigint")
+        else:
+            new[c] = F.lit(None).cast("bigint")
     return _replace(df, new)
 
 
+def _join_codes(df: DataFrame, col: str, text: Column, table: DataFrame) -> DataFrame:
+    joined = lookup_join(df.withColumn("__lv", text), table.withColumnRenamed("value", "__lv"), "__lv", "n")
+    return joined.select(*[F.col("code").cast("bigint").alias(n) if n == col else quoted(n) for n in df.columns])
+
+
 def fit_onehot(df: DataFrame, cols: Sequence[str], max_card: int = 20) -> Fitted:
     """Sorted categories of non-numeric columns; columns with more than ``max_card`` distinct values are skipped."""
     params: dict[str, dict] = {}

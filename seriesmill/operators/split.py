@@ -102,14 +102,16 @@ def split_random(
 
 def _quotas(strata: DataFrame, rows: str, want: int, out: str) -> DataFrame:
     """Largest-remainder share of ``want`` rows per stratum; a tie goes to the smaller class value."""
-    total = F.sum(rows).over(Window.partitionBy())
-    exact = F.lit(want) * F.col(rows)
-    base = F.floor(exact / total).cast("bigint")
-    w = Window.orderBy(F.pmod(exact, total).desc(), F.col("__c").asc_nulls_last())
+    # decimals: the product leaves 64 bits from about 1e10 rows
+    total = F.sum(rows).over(Window.partitionBy()).cast("decimal(19,0)")
+    exact = F.lit(want).cast("decimal(19,0)") * F.col(rows).cast("decimal(19,0)")
+    over = F.coalesce(F.try_mod(exact, total), F.lit(0).cast("decimal(38,0)"))
+    base = F.coalesce(F.try_divide(exact - over, total).cast("bigint"), F.lit(0).cast("bigint"))
+    w = Window.orderBy(F.col("__over").desc(), F.col("__c").asc_nulls_last())
     left = F.lit(want) - F.sum("__base").over(Window.partitionBy())
-    ranked = strata.withColumn("__base", base).withColumn("__rank", F.row_number().over(w)).withColumn("__left", left)
+    ranked = strata.withColumns({"__base": base, "__over": over}).withColumn("__rank", F.row_number().over(w)).withColumn("__left", left)
     return ranked.withColumn(out, F.col("__base") + (F.col("__rank") <= F.col("__left")).cast("int")).drop(
-        "__base", "__rank", "__left"
+        "__base", "__over", "__rank", "__left"
     )
 
 

@@ -234,3 +234,51 @@ def test_context(spark):
         old = X.recent_context(df.filter("t < 50"), "s", "t", 4, sizing)
         got = X.update_context(old, df.filter("t >= 50 AND t < 53"), "s", "t", 4, sizing)
         assert sorted(r.t for r in got.collect()) == [45, 46, 47, 48, 49, 50, 51, 52]
+
+
+def test_short_series_keep_their_last_value_on_paths(spark):
+    df = spark.range(80).selectExpr("IF(id < 10, 1, 2) AS s", "id AS t", "CAST(sin(id * id) AS DOUBLE) AS y")
+    fit = X.arima_fit(df, "y", "t", "s")
+    paths = X.bootstrap_paths(fit, X.arima_residuals(df, fit, "y", "t", "s"), "t", "s", 3, 5)
+    assert paths.groupBy("s").count().orderBy("s").collect() == [(1, 15), (2, 15)]
+    assert {r.value for r in paths.filter("s = 1").collect()} == {fit.filter("s = 1").first().y_last}
+
+
+def test_rejected_steps_stand_in_the_audit(spark):
+    df = spark.range(20).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    task = P.Task("y", keep=("id",))
+    raw = [{"order": 2, "method": "z_norm", "applies_to": ["x"]}, {"order": 1, "method": "detrend"}, {"method": "z_norm"}, None]
+    steps, rejected = P.parse_plan(raw, task)
+    assert [r["skipped_reason"] for r in rejected] == ["MODALITY_VIOLATION", "NO_ORDER", "NOT_A_STEP"]
+    _, audit = P.apply_plan(df, steps, task, rejected=rejected)
+    reasons = [r.skipped_reason for r in audit.table(spark).collect()]
+    assert reasons == ["MODALITY_VIOLATION", "NO_ORDER", "NOT_A_STEP", None]
+
+
+def test_window_step_without_order_fails_under_its_own_name(spark):
+    df = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    task = P.Task("y", "time_series", keep=("id",))
+    steps = [P.Step(1, "lag_features", {"lags": [1]}, ["x"]), P.Step(2, "z_norm", {}, ["x"])]
+    out, audit = P.apply_plan(df, steps, task)
+    lag, scale = audit.records
+    assert "order" in lag["skipped_reason"] and lag["columns_affected"] == []
+    assert "skipped_reason" not in scale and out.count() == 50 and "x_lag_1" not in out.columns
+
+
+def test_queued_window_steps_are_marked_when_they_fail_together(spark, monkeypatch):
+    def broken(*_):
+        raise ValueError("no blocks")
+
+    df = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    steps = [P.Step(1, "lag_features", {"lags": [1]}, ["x"]), P.Step(2, "z_norm", {}, ["x"])]
+    monkeypatch.setattr(P, "fit_layout", broken)
+    out, audit = P.apply_plan(df, steps, P.Task("y", "time_series", order_by=("id",)))
+    assert [r.get("skipped_reason") for r in audit.records] == ["no blocks", None]
+    assert out.count() == 50 and audit.records[1]["rows_before"] == 50
+
+
+def test_label_encoding_is_fitted_by_a_plan(spark):
+    df = spark.range(30).selectExpr("id", "CAST(id % 3 AS STRING) AS c", "CAST(id AS DOUBLE) AS y")
+    out, audit = P.apply_plan(df, [P.Step(1, "label_encode", {}, ["c"])], P.Task("y", keep=("id",)))
+    assert audit.records[0]["fitted_params"]["c"]["encoding"] == {"0": 0, "1": 1, "2": 2}
+    assert audit.fitted[0].method == "label_encode" and out.filter("c <> id % 3").count() == 0

@@ -128,3 +128,16 @@ def test_split_info_and_guards(table):
     with pytest.raises(ValueError, match="LEAK"):
         G.assert_same_split(a, a, "id", ["x", "y"], "y")
     assert a.filter(F.col("split").isNull()).count() == 0
+
+
+def test_quotas_of_very_many_rows(spark):
+    from seriesmill.operators.split import _quotas
+
+    rows = [("a", 5 * 10**11 + 1), ("b", 3 * 10**11), ("c", 2 * 10**11 - 1)]
+    strata = spark.createDataFrame(rows, "__c string, n bigint")
+    want = 2 * 10**11 + 1
+    got = {r["__c"]: r.q for r in _quotas(strata, "n", want, "q").collect()}
+    exact = {c: divmod(want * n, 10**12) for c, n in rows}
+    left = want - sum(q for q, _ in exact.values())
+    first = sorted(exact, key=lambda c: (-exact[c][1], c))[:left]
+    assert got == {c: q + (c in first) for c, (q, _) in exact.items()}

@@ -171,3 +171,33 @@ def test_time_column_probe(spark):
     assert align.detect_time_col_by_probe(df.withColumnRenamed("a", "Date"), ["id"]) == "Date"
     with pytest.raises(ValueError):
         align.detect_time_col_by_probe(df.drop("b"), ["id"])
+
+
+@pytest.mark.parametrize("inline", [3, 4, 5])
+def test_label_encoding_is_the_same_on_both_sides_of_the_limit(spark, inline):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["b", "a", None, "b", "c"])], "id int, t string")
+    fitted = S.fit_label_encode(df, ["t"], inline)
+    assert ("lookup" in fitted.params["t"]) == (inline < 4)
+    assert {r.id: r.t for r in S.apply_label_encode(df, fitted).collect()} == {0: 1, 1: 0, 2: 3, 3: 1, 4: 2}
+    assert {r.id: r.t for r in S.label_encode(df, ["t"]).collect()} == {0: 1, 1: 0, 2: 3, 3: 1, 4: 2}
+    new = spark.createDataFrame([(0, "x"), (1, "c")], "id int, t string")
+    assert {r.id: r.t for r in S.apply_label_encode(new, fitted).collect()} == {0: None, 1: 2}
+
+
+def test_long_labels_are_joined(spark):
+    df = spark.range(4).selectExpr("id", "repeat(CAST(id % 2 AS STRING), 1000) AS t")
+    fitted = S.fit_label_encode(df, ["t"])
+    assert "lookup" in fitted.params["t"] and S.apply_label_encode(df, fitted).filter("t <> id % 2").count() == 0
+
+
+@pytest.mark.parametrize("limits", [{"BROADCAST_ROWS": 0}, {"BROADCAST_BYTES": 3}, {}])
+def test_lookup_join_is_the_same_by_every_way(spark, monkeypatch, limits):
+    from seriesmill.operators import joins
+
+    for name, value in limits.items():
+        monkeypatch.setattr(joins, name, value)
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id < 3000 THEN 'hot' WHEN id < 3010 THEN NULL ELSE CAST(id AS STRING) END AS k")
+    table = df.groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.coalesce("k", F.lit("none")))
+    out = joins.lookup_join(df, table, "k", "n")
+    assert out.columns == ["id", "k", "v"] and out.count() == 5000
+    assert out.filter("v <> coalesce(k, 'none') OR v IS NULL").count() == 0
