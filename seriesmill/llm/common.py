@@ -15,6 +15,7 @@ SPACES = r"[\x20\x09-\x0D]+"  # what separates words
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BATCH_LIMIT = 8 << 20  # bytes of text that a Python worker gets at once, unless the session says less
 _SHIPPED: set[str] = set()
+_OWN_FOLDER: dict[str, str] = {}  # by application, of local sessions that name no shared folder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,9 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="seriesmill-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="seriesmill-shared-")
+    return _OWN_FOLDER[app]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

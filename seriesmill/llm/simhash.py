@@ -143,12 +143,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of every component the row of smallest id stays (nulls last)."""
+def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of every group (``doc_id``, ``key``, ``root``) the row of ``docs`` with the smallest id (nulls last, then ``key``)."""
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    kept = near_duplicates(docs, width, id_col, text_col).groupBy("root").agg(F.min(place).alias("p"))
+    kept = grouped.groupBy("root").agg(F.min(place).alias("p"))
     kept = kept.select(F.col("p.id").alias("_kept_id"), F.col("p.key").alias("_kept_key")).distinct()
     rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_key"] == kept["_kept_key"]), "left_semi")
     same = Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(), "_key").orderBy(F.lit(1))
     return rows.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component the row of smallest id stays (nulls last)."""
+    return first_rows(docs, near_duplicates(docs, width, id_col, text_col), id_col, text_col)

@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from seriesmill.llm import queries
-from tests.llm.test_contracts import exact_simhash, grouped, measures, removed
+from tests.llm.test_contracts import measures, removed
+from tests.llm.test_near_copies import exact_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def test_stages(spark):
             kept.add(i)
     assert {r.doc_id for r in out.collect()} == kept and out.columns == docs.columns
     out = corpus_pipeline.settle(steps["simhash_dedup"](spark, out, SF), "t")
-    roots = grouped({i: exact_simhash(rows[i]) for i in kept})
+    roots = exact_groups({i: rows[i] for i in kept})
     kept = {i for i in kept if roots[i] == i}
     assert sorted(r.doc_id for r in out.collect()) == sorted(kept) and out.columns == docs.columns
     out = corpus_pipeline.settle(steps["suffix_array_dedup"](spark, out, SF), "t")
