@@ -6,8 +6,8 @@ between them in two steps: its class, then the word within the class. A document
 log-probabilities of its words, each given both sides.
 
 Training is data-parallel: in each round every partition runs through its own share of the corpus from the common weights,
-and the new weights are averaged by tokens seen. Each round takes every ``STRIDE``-th word of every text, another residue
-each time, so what is learned from grows with the corpus and no document is left out. Memory is bounded by slices of
+and the new weights are averaged by tokens seen. Each round takes every ``STRIDE``-th word of every text, counted within the
+text, another residue each time: with as many rounds as ``STRIDE``, every word of every text is predicted once. Memory is bounded by slices of
 texts, the weights' size is fixed by parameters.
 
 Defined results: null, empty and wordless texts have 0 tokens, log-likelihood 0 and a null mean; texts of one word are
@@ -31,7 +31,7 @@ from seriesmill.llm.common import ready
 
 CLASSES, PER_CLASS, WIDTH, REACH = 32, 32, 16, 2
 SHARED = 256  # ids that words outside the vocabulary are hashed to
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 256, 1.0
+STRIDE, ROUNDS, BATCH, RATE = 2, 2, 1024, 1.0
 SIDES = [i for i in range(-REACH, REACH + 1) if i]
 _CHUNKS = 64
 
@@ -156,6 +156,11 @@ def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def targets(doc: np.ndarray, turn: int, stride: int) -> np.ndarray:
+    """Places of the words that a round predicts: every ``stride``-th of each text."""
+    return np.flatnonzero((np.arange(len(doc)) - np.searchsorted(doc, doc)) % stride == turn % stride)
+
+
 def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, seed: int = 11) -> Network:
     """Trains on all texts, round by round."""
     net = Network.fresh(vocabulary(docs, text_col), seed)
@@ -176,7 +181,7 @@ def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, strid
                 for _, codes, doc in word_codes(batch.column("text")):
                     token = own.tokens(codes)
                     around = contexts(token, doc)
-                    chosen = np.arange(turn % stride, len(token), stride)
+                    chosen = targets(doc, turn, stride)
                     for at in range(0, len(chosen), BATCH):
                         rows = chosen[at : at + BATCH]
                         own.step(around[rows], token[rows], rate * min(1.0, len(rows) / BATCH))
