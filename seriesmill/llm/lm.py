@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood of documents under a small bidirectional window network, trained in numpy.
 
 Tokens are lower-case words; the most frequent ones of the whole corpus have ids of their own, all others share
-hashed ids. The network adds one vector per neighbour (``REACH`` words to each side), applies tanh and predicts the word
+hashed ids, and a word's probability is its id's times its share of the id by the full counts. The network adds one vector per neighbour (``REACH`` words to each side), applies tanh and predicts the word
 between them in two steps: its class, then the word within the class. A document's score is the sum of the
 log-probabilities of its words, each given both sides.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm import arrays
-from seriesmill.llm.common import ready
+from seriesmill.llm.common import ready, settle
 
 CLASSES, PER_CLASS, WIDTH, REACH = 32, 32, 16, 2
 SHARED = 256  # ids that words outside the vocabulary are hashed to
@@ -44,8 +44,8 @@ def word_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield len(part), arrays.range_hash(arrays.prefix_hash(arrays.lowered(body)), start, end), doc
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = CLASSES * PER_CLASS - SHARED) -> np.ndarray:
-    """Hashes of the most frequent words of all texts, most frequent first."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word`` (hash) and ``n`` of every word of all texts."""
     ready(docs.sparkSession)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = CLASSES * PE
                 found, n = np.unique(codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
-    total = docs.select(F.col(text_col).alias("text")).mapInArrow(counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = CLASSES * PER_CLASS - SHARED, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the most frequent words of all texts, most frequent first."""
+    total = word_counts(docs, text_col) if counts is None else counts
     rows = total.orderBy(F.desc("n"), "word").limit(size).collect()  # a fixed number of words
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
 
@@ -161,9 +166,9 @@ def targets(doc: np.ndarray, turn: int, stride: int) -> np.ndarray:
     return np.flatnonzero((np.arange(len(doc)) - np.searchsorted(doc, doc)) % stride == turn % stride)
 
 
-def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, seed: int = 11) -> Network:
+def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE, seed: int = 11, counts: DataFrame | None = None) -> Network:
     """Trains on all texts, round by round."""
-    net = Network.fresh(vocabulary(docs, text_col), seed)
+    net = Network.fresh(vocabulary(docs, text_col, counts=counts), seed)
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
 
@@ -201,24 +206,50 @@ def trained(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, strid
 
 
 def scored(text: Column, broadcast) -> Column:
-    """Struct of ``n_tokens`` and ``log_likelihood``."""
+    """Struct of ``n_tokens``, ``log_likelihood`` with shared ids as they are, and the words that have those, with their numbers."""
 
-    @F.arrow_udf("struct<n_tokens: bigint, log_likelihood: double>")
+    @F.arrow_udf("struct<n_tokens: bigint, log_likelihood: double, rare: array<bigint>, times: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        net, counts, sums = broadcast.value, [np.zeros(0, np.int64)], [np.zeros(0)]
+        net, counts, sums, rare, times = broadcast.value, [np.zeros(0, np.int64)], [np.zeros(0)], [], []
         for n, codes, doc in word_codes(texts):
             token = net.tokens(codes)
             counts.append(np.bincount(doc, minlength=n))
             sums.append(np.bincount(doc, weights=net.log_probabilities(contexts(token, doc), token), minlength=n))
+            shared = token < SHARED
+            words, cuts = codes[shared].view(np.int64), np.searchsorted(doc[shared], np.arange(n + 1))
+            for i in range(n):
+                found, m = np.unique(words[cuts[i] : cuts[i + 1]], return_counts=True)
+                rare.append(found)
+                times.append(m)
         columns = [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
-        return pa.StructArray.from_arrays(columns, ["n_tokens", "log_likelihood"])
+        columns += [pa.array(x, pa.list_(pa.int64())) for x in (rare, times)]
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "log_likelihood", "rare", "times"])
 
     return of(text)
 
 
-def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``log_likelihood`` and ``mean_log_likelihood`` (null without tokens)."""
+def shares(words: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """Adds ``share``, the logarithm of a word's part of its shared id: by its number in the corpus plus a half, a half if unseen."""
+    spark, half, ident = words.sparkSession, F.lit(0.5), F.col("word").bitwiseAND(F.lit(SHARED - 1))
+    own = spark.createDataFrame([(int(w),) for w in net.words.view(np.int64)], "word bigint")
+    others = counts.join(F.broadcast(own), "word", "left_anti")
+    totals = others.groupBy(ident.alias("id")).agg((F.sum("n") + half * (F.count("*") + 1)).alias("total"))
+    out = words.join(others, "word", "left").withColumn("id", ident).join(F.broadcast(totals), "id", "left")
+    return out.withColumn("share", F.log(F.coalesce("n", F.lit(0)) + half) - F.log(F.coalesce("total", half))).drop("n", "id", "total")
+
+
+def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``log_likelihood`` and ``mean_log_likelihood`` (null without tokens).
+
+    ``counts`` (of ``word_counts``) takes a word with a shared id at its own probability: the id's times the word's share.
+    """
     shared = ready(docs.sparkSession).sparkContext.broadcast(net)
     out = docs.select(F.col(id_col).alias("doc_id"), scored(F.col(text_col), shared).alias("s")).select("doc_id", "s.*")
+    if counts is not None:
+        out = settle(out.withColumn("row", F.monotonically_increasing_id()), "lm")
+        words = out.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+        less = shares(words, net, counts).groupBy("row").agg(F.sum(F.col("times") * F.col("share")).alias("less"))
+        out = out.drop("rare", "times").join(less, "row", "left")
+        out = out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("less", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return out.withColumn("mean_log_likelihood", mean)
+    return out.select("doc_id", "n_tokens", "log_likelihood").withColumn("mean_log_likelihood", mean)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seriesmill.llm import (
     bpe, fingerprints, language, lm, mixing, quality_model, quality_rules, repeats, sharding, simhash,
 )
-from seriesmill.llm.common import held_out, read
+from seriesmill.llm.common import held_out, read, settle
 
 SHARDS, MIX_SEED, SHARD_SEED, ACCEPT = 40, 17, 23, 0.3
 
@@ -76,7 +76,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lm.score_documents(docs, lm.trained(docs))
+    counts = settle(lm.word_counts(docs), "lm")
+    return lm.score_documents(docs, lm.trained(docs, counts=counts), counts=counts)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Training targets of the language model."""
+"""Training targets of the language model, and words that share an id."""
 
 import numpy as np
 
@@ -10,3 +10,22 @@ def test_every_word_is_predicted_once():
     places = np.concatenate([lm.targets(doc, turn, lm.STRIDE) for turn in range(lm.ROUNDS)])
     assert sorted(places.tolist()) == list(range(len(doc)))
     assert set(doc[lm.targets(doc, 0, lm.STRIDE)].tolist()) == set(range(7))
+
+
+def test_words_of_a_shared_id_have_their_own_probability(make):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[i % 50 :: 50]), "en", "a") for i in range(200)] + [(200, " ".join(words[:900]) + " once", "en", "a")]
+    docs = make(rows)
+    counts = lm.word_counts(docs)
+    net = lm.Network.fresh(lm.vocabulary(docs, counts=counts))
+    seen = {r.word: r.n for r in counts.collect()}
+    assert sum(seen.values()) == sum(len(r[1].split()) for r in rows)
+    kinds = counts.select("word").union(docs.sparkSession.createDataFrame([(k,) for k in range(512)], "word bigint"))
+    kinds = kinds.filter(~kinds["word"].isin([int(w) for w in net.words.view(np.int64)]))
+    got = {r.word: r.share for r in lm.shares(kinds, net, counts).collect()}
+    for ident in range(lm.SHARED):
+        known = [np.exp(s) for w, s in got.items() if w in seen and w & 255 == ident]
+        assert abs(sum(known) + np.exp(got[ident]) - 1) < 1e-9  # ids 0 to 511 stand for unseen words
+        assert not known or np.exp(got[ident]) < min(known)
+    plain, whole = ({r.doc_id: r.log_likelihood for r in lm.score_documents(docs, net, counts=c).collect()} for c in (None, counts))
+    assert len(whole) == len(rows) and all(whole[i] < plain[i] for i in plain)
