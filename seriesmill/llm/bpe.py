@@ -120,6 +120,10 @@ class Bpe:
                 out.extend(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(part))))
         return out
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of a text in which strings of special tokens are plain text."""
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(text))))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import (
-    bpe, fingerprints, language, lm, mixing, quality_model, quality_rules, repeats, sharding, simhash,
+    alignment, bpe, fingerprints, language, lines, lm, mixing, quality_model, quality_rules, repeats, sharding, simhash, spelling,
 )
 from seriesmill.llm.common import held_out, read, settle
 
@@ -87,11 +87,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_shared_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    rows = alignment.align_documents(read(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    rows = settle(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "aligned")
+    return alignment.with_counts(rows, settle(alignment.pair_counts(rows), "aligned"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_suffix_array_dedup, op3_sharding, op4_fingerprints, op5_mixing, op6_simhash_dedup, op7_bpe,
-        op8_quality_classifier, op9_lm_scoring, op10_language_id,
+        op8_quality_classifier, op9_lm_scoring, op10_language_id, op11_line_dedup, op12_spelling_variants, op13_token_alignment,
     )
 }
 
@@ -165,4 +182,44 @@ c AS (
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (size * least(2, whole + (upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)))::INT))::BIGINT AS taken
 FROM c""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+s AS (SELECT r, doc_id, i, l[i] AS line,
+        translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)),
+c AS (SELECT k, max(doc_id) AS last FROM s WHERE length(k) >= 40 GROUP BY k
+      HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 5),
+m AS (SELECT s.*, c.k IS NOT NULL AND s.doc_id IS DISTINCT FROM c.last AS gone FROM s LEFT JOIN c ON s.k = c.k)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r""",
+    "op12_spelling_variants": r"""
+WITH k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM o GROUP BY doc_id, w),
+h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS h FROM r, k),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM h),
+c AS (SELECT word, sum(n)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM c)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM x a JOIN c b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM x a JOIN c b ON a.rest = b.word),
+f AS (
+  SELECT c.word, c.n, count(near) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n
+  FROM c LEFT JOIN p ON c.word = p.word GROUP BY c.word, c.n),
+g AS (SELECT word, n, n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM f),
+y AS (SELECT g0.*, coalesce(g0.form, g0.word) AS r1 FROM g g0),
+z AS (SELECT y.*, coalesce(g1.form, r1) AS r2 FROM y JOIN g g1 ON g1.word = r1),
+u AS (SELECT z.*, coalesce(g2.form, r2) AS r3 FROM z JOIN g g2 ON g2.word = r2),
+t AS (SELECT u.*, coalesce(g3.form, r3) AS r4 FROM u JOIN g g3 ON g3.word = r3),
+e AS (SELECT t.*, coalesce(g4.form, r4) AS r5 FROM t JOIN g g4 ON g4.word = r4),
+q AS (SELECT e.*, coalesce(g5.form, r5) AS r6 FROM e JOIN g g5 ON g5.word = r5)
+SELECT word, form, r6 AS root, n, n_near::BIGINT AS n_near, form_n FROM q""",
 }
