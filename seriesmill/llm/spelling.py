@@ -23,7 +23,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import settle
+from seriesmill.llm.common import parts_for, settle
 
 LETTERS = ascii_lowercase + ascii_uppercase + "".join(map(chr, range(0xC0, 0x100)))
 LEAST_CHARS, LEAST_TIMES, FACTOR = 7, 2, 10
@@ -51,19 +51,26 @@ def vocabulary(docs: DataFrame, least_chars: int = LEAST_CHARS, least_times: int
     return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_times)
 
 
-def signatures(word: Column, parts: int = PARTS, spoilt: int = SPOILT, ends: int = LEAST_CHARS // 2) -> Column:
-    """The keys (bigint) under which all words one edit away are met."""
-    letters = F.array_join(F.array_sort(F.split(word, "")), "")
+def signed(words: DataFrame, parts: int = PARTS, spoilt: int = SPOILT, ends: int = LEAST_CHARS // 2) -> DataFrame:
+    """``key``, ``word``, ``n``: all keys (bigint) under which the words one edit away from ``word`` are met.
+
+    The steps are columns of their own, so that none is computed once per key.
+    """
+    rows = words.withColumn("letters", F.array_join(F.array_sort(F.split("word", "")), ""))
     others = ["".join(c for i, c in enumerate(LETTERS) if i % parts != p) for p in range(parts)]
-    own = [F.translate(letters, o, "") for o in others]  # the letters of each part, sorted
-    kept = [F.xxhash64(F.lit(i), *[own[p] for p in c]) for i, c in enumerate(combinations(range(parts), parts - spoilt))]
-    sides = (F.substring(word, 1, ends), F.substring(word, -ends, ends))
-    return F.array(*[F.xxhash64(k, F.lit(i), s) for k in kept for i, s in enumerate(sides)])
+    rows = rows.withColumns({f"p{p}": F.translate("letters", o, "") for p, o in enumerate(others)})  # each part's letters, sorted
+    chosen = list(combinations(range(parts), parts - spoilt))
+    rows = rows.withColumns({f"s{i}": F.xxhash64(F.lit(i), *[F.col(f"p{p}") for p in c]) for i, c in enumerate(chosen)})
+    rows = rows.withColumns({"head": F.xxhash64(F.substring("word", 1, ends)), "tail": F.xxhash64(F.lit(0), F.substring("word", -ends, ends))})
+    keys = [F.xxhash64(f"s{i}", side) for i in range(len(chosen)) for side in ("head", "tail")]
+    return rows.select("word", "n", F.array(*keys).alias("keys")).select(F.explode_outer("keys").alias("key"), "word", "n")  # outer: no filter on the keys is put below
 
 
 def near_words(words: DataFrame, parts: int = PARTS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``word``, ``n``, ``near``, ``near_n``: all ordered pairs of ``words`` that differ by exactly one edit, each once."""
-    keyed = words.select("word", "n", F.explode(signatures(F.col("word"), parts, SPOILT, least_chars // 2)).alias("key"))
+    n = parts_for(words)
+    # both sides of the join are one exchange
+    keyed = signed(words.repartition(n), parts, SPOILT, least_chars // 2).repartition(n, "key")
     other = keyed.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     lengths = F.abs(F.octet_length("word") - F.octet_length("near")) <= 2
     met = keyed.join(other, "key").filter(lengths & (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
