@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from registry.base import ORDER, query, read, rounded
 from registry.splits import _RANDOM
 from seriesmill.functions import metrics as J
+from seriesmill.operators import arima as A
 from seriesmill.operators import forecast as X
 from seriesmill.operators import models as H
 from seriesmill.operators import search as I
@@ -217,6 +218,74 @@ def h10_forecast(spark, d):
     return rounded(X.arima_forecast(_fit(spark, d), 10, "user_id"), ["user_id", "step"], ["y_pred"])
 
 
+def _arima(spark, d, order):
+    return A.fit(read(spark, d, "events").select(*ORDER, "user_id", "value"), "value", ORDER, "user_id", order)
+
+
+_DIFF = (
+    "l AS (SELECT user_id, value AS y0, lag(value, 1) OVER w AS y1, lag(value, 2) OVER w AS y2, lag(value, 3) OVER w AS y3, lag(value, 4) OVER w AS y4, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+)
+_D1 = _DIFF + "x AS (SELECT *, y0 - y1 AS w0, y1 - y2 AS w1, y2 - y3 AS w2 FROM l), "
+_D2 = _DIFF + "x AS (SELECT *, y0 - 2 * y1 + y2 AS w0, y1 - 2 * y2 + y3 AS w1, y2 - 2 * y3 + y4 AS w2 FROM l), "
+
+
+@query(
+    "h10_arima_210",
+    f"WITH {_D1} s AS (SELECT user_id, count(*) AS n, sum(w1 * w1) FILTER (w2 IS NOT NULL) AS a, sum(w1 * w2) AS b, sum(w2 * w2) AS c, "
+    "sum(w0 * w1) FILTER (w2 IS NOT NULL) AS e, sum(w0 * w2) AS f FROM x GROUP BY 1), "
+    "t AS (SELECT user_id, n, (e * c - f * b) / nullif(a * c - b * b, 0) AS p1, (f * a - e * b) / nullif(a * c - b * b, 0) AS p2 FROM s), "
+    "r AS (SELECT *, greatest(least(p2, 0.99), -0.99) AS r2, greatest(least(p1 / (1 - p2), 0.99), -0.99) AS r1 FROM t) "
+    "SELECT user_id, n, CASE WHEN n >= 30 THEN round(r1 * (1 - r2), 4) END AS phi1, CASE WHEN n >= 30 THEN round(r2, 4) END AS phi2 FROM r",
+)
+def h10_210(spark, d):
+    fit = _arima(spark, d, (2, 1, 0))
+    return rounded(fit.select("user_id", "n", F.col("phi")[0].alias("phi1"), F.col("phi")[1].alias("phi2")), ["user_id", "n"], ["phi1", "phi2"])
+
+
+_MA1 = (
+    "s AS (SELECT user_id, count(*) AS n, sum(w0 * w1) / nullif(sum(w1 * w1) FILTER (w0 IS NOT NULL AND w1 IS NOT NULL), 0) AS a FROM x GROUP BY 1), "
+    "u AS (SELECT x.*, n, a, w1 - a * w2 AS u1 FROM x JOIN s USING (user_id)), "
+    "t AS (SELECT user_id, sum(w0 * u1) / nullif(sum(u1 * u1), 0) AS theta FROM u GROUP BY 1), "
+    "f AS (SELECT u.*, theta FROM u JOIN t USING (user_id) WHERE back = 1 AND n >= 30), "
+    "g AS (SELECT *, theta * (w0 - theta * u1) AS first, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM f) "
+)
+
+
+@query("h10_arima_011_forecast", f"WITH {_D1} {_MA1} SELECT user_id, step, round(y0 + first, 4) AS y_pred FROM g")
+def h10_011(spark, d):
+    fit = _arima(spark, d, (0, 1, 1)).filter("sigma2 IS NOT NULL")
+    return rounded(A.forecast(fit, 5, "user_id"), ["user_id", "step"], ["y_pred"])
+
+
+@query("h10_arima_021_forecast", f"WITH {_D2} {_MA1} SELECT user_id, step, round(y0 + step * (y0 - y1 + first), 3) AS y_pred FROM g")
+def h10_021(spark, d):
+    fit = _arima(spark, d, (0, 2, 1)).filter("sigma2 IS NOT NULL")
+    return rounded(A.forecast(fit, 5, "user_id"), ["user_id", "step"], ["y_pred"], 3)
+
+
+@query(
+    "h10_arima_100_interval",
+    "WITH l AS (SELECT user_id, value AS y0, lag(value) OVER w AS y1, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "s AS (SELECT user_id, count(*) + 1 AS n, greatest(least(covar_pop(y0, y1) / nullif(var_pop(y1), 0), 0.99), -0.99) AS phi, avg(y0) AS m0, avg(y1) AS m1, "
+    "var_pop(y0) - covar_pop(y0, y1) * covar_pop(y0, y1) / nullif(var_pop(y1), 0) AS sigma2 FROM l WHERE y1 IS NOT NULL GROUP BY 1), "
+    "f AS (SELECT user_id, y0, phi, m0 - phi * m1 AS c, sigma2 FROM l JOIN s USING (user_id) WHERE back = 1 AND n >= 30), "
+    "g AS (SELECT *, c + phi * y0 AS f1 FROM f), h AS (SELECT *, c + phi * f1 AS f2 FROM g) "
+    "SELECT user_id, 1 AS step, round(f1, 4) AS y_pred, round(f1 - 1.2815515655446004 * sqrt(sigma2), 4) AS lower, round(f1 + 1.2815515655446004 * sqrt(sigma2), 4) AS upper FROM h "
+    "UNION ALL SELECT user_id, 2, round(f2, 4), round(f2 - 1.2815515655446004 * sqrt(sigma2 * (1 + phi * phi)), 4), round(f2 + 1.2815515655446004 * sqrt(sigma2 * (1 + phi * phi)), 4) FROM h",
+)
+def h10_100(spark, d):
+    fit = _arima(spark, d, (1, 0, 0)).filter("sigma2 IS NOT NULL")
+    return rounded(A.forecast(fit, 2, "user_id", 0.8), ["user_id", "step"], ["y_pred", "lower", "upper"])
+
+
+@query("h10_arima_select")
+def h10_select(spark, d):
+    ev = read(spark, d, "events").select(*ORDER, "user_id", "value")
+    return A.select(ev, "value", ORDER, "user_id").select("user_id", "n", "p", "d", "q", "aic")
+
+
 # the events of a type on a day are the sample paths of that step
 _PATHS = "SELECT event_type AS series, CAST(day(ts) AS INTEGER) AS step, event_id AS sample, value FROM events"
 

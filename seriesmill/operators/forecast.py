@@ -1,7 +1,6 @@
-"""Forecasting many series at once: ARIMA(1,1,1) by least squares, sample paths, quantiles, contexts.
+"""Forecasting many series at once: ARIMA(1,1,1) in closed form, sample paths, quantiles, contexts.
 
-The ARIMA fit is a two-stage regression (Hannan-Rissanen). Both stages only need sums of products of the
-differenced series and its lags, so a single pass over one window and one aggregation fits every series.
+``arima`` holds the fit for any order; here are the parameters of order (1,1,1) as plain columns and what builds on them.
 """
 
 from __future__ import annotations
@@ -11,31 +10,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import as_double, as_list, quoted
+from seriesmill.functions.columns import as_list
+from seriesmill.operators import arima
 from seriesmill.operators.joins import attach_row, lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
 from seriesmill.operators.quantiles import grouped_quantiles
 
-MIN_HISTORY = 30
-CLIP = 0.99
+MIN_HISTORY = arima.MIN_HISTORY
 CONTEXT = 512
 
 
-def _differences(df: DataFrame, value: str, order_by, series, sizing) -> DataFrame:
-    """Adds d0..d3: the difference at this row and at the three rows before it."""
-    order, keys = as_list(order_by), as_list(series)
-    rows = df.select(*dict.fromkeys([*keys, *order]), as_double(df, value).alias("__y")).filter(F.col("__y").isNotNull())
-    layout = fit_layout(rows, order, keys or None, 4, sizing)
-    lags = {f"__y{k}": lambda w, k=k: F.lag("__y", k).over(w) for k in range(1, 5)}
-    out = layout.windowed(rows, lags, before=4)
-    names = ["__y", "__y1", "__y2", "__y3", "__y4"]
-    return out.withColumns({f"__d{i}": F.col(names[i]) - F.col(names[i + 1]) for i in range(4)})
-
-
-def _product(a: int, b: int, needs: str) -> Column:
-    return F.sum(F.when(F.col(needs).isNotNull(), F.col(f"__d{a}") * F.col(f"__d{b}")))
-
-
 def arima_fit(
     df: DataFrame,
     value: str,
@@ -49,48 +33,13 @@ def arima_fit(
     Stage 1 regresses d on its two lags (a1, a2) and gives the innovations u; stage 2 regresses d on the
     lagged d (phi) and the lagged u (theta). Short series have null parameters; |phi| is clipped.
     """
-    keys, order = as_list(series), as_list(order_by)
-    rows = _differences(df, value, order_by, series, sizing)
-    parts = [x for c in order for x in (quoted(c).isNull(), quoted(c))]
-    last = F.max(F.struct(*parts, F.struct("__y", "__d0", "__d1", "__d2", "__d3").alias("state")))
-    aggs = [F.count(F.lit(1)).alias("__n"), last["state"].alias("__s")]
-    aggs += [_product(a, b, "__d2").alias(f"__p{a}{b}") for a, b in ((1, 1), (2, 2), (1, 2), (0, 1), (0, 2))]
-    aggs += [_product(a, b, "__d3").alias(f"__q{a}{b}") for a in range(4) for b in range(a, 4)]
-    sums = rows.groupBy(*keys).agg(*aggs)
-    c = F.col
-    det = c("__p11") * c("__p22") - c("__p12") * c("__p12")
-    sums = sums.withColumns(
-        {
-            "__a1": F.try_divide(c("__p01") * c("__p22") - c("__p02") * c("__p12"), det),
-            "__a2": F.try_divide(c("__p02") * c("__p11") - c("__p01") * c("__p12"), det),
-        }
-    )
-    # sums with u_{t-1} = d1 - a1 d2 - a2 d3 written out in products of the differences
-    a1, a2 = c("__a1"), c("__a2")
-    s12 = c("__q11") - a1 * c("__q12") - a2 * c("__q13")
-    s22 = (
-        c("__q11") + a1 * a1 * c("__q22") + a2 * a2 * c("__q33")
-        - 2 * a1 * c("__q12") - 2 * a2 * c("__q13") + 2 * a1 * a2 * c("__q23")
+    keys = as_list(series)
+    out = arima.fit(df, value, order_by, keys, (1, 1, 1), min_history, sizing)
+    w, a1, a2 = F.col("lags"), F.col("a")[0], F.col("a")[1]
+    return out.select(
+        *keys, "n", F.col("phi")[0].alias("phi"), F.col("theta")[0].alias("theta"), a1.alias("a1"), a2.alias("a2"),
+        "y_last", w[0].alias("d_last"), w[1].alias("d_prev"), (w[1] - a1 * w[2] - a2 * w[3]).alias("u_prev"),
     )
-    b2 = c("__q01") - a1 * c("__q02") - a2 * c("__q03")
-    sums = sums.withColumns({"__s11": c("__q11"), "__s12": s12, "__s22": s22, "__b1": c("__q01"), "__b2": b2})
-    det = c("__s11") * c("__s22") - c("__s12") * c("__s12")
-    enough = c("__n") >= min_history
-    phi = F.try_divide(c("__b1") * c("__s22") - c("__b2") * c("__s12"), det)
-    theta = F.try_divide(c("__b2") * c("__s11") - c("__b1") * c("__s12"), det)
-    phi = F.when(phi.isNotNull(), F.least(F.greatest(phi, F.lit(-CLIP)), F.lit(CLIP)))
-    return sums.select(
-        *keys,
-        c("__n").alias("n"),
-        F.when(enough, phi).alias("phi"),
-        F.when(enough, theta).alias("theta"),
-        F.when(enough, a1).alias("a1"),
-        F.when(enough, a2).alias("a2"),
-        c("__s.__y").alias("y_last"),
-        c("__s.__d0").alias("d_last"),
-        c("__s.__d1").alias("d_prev"),
-        (c("__s.__d1") - a1 * c("__s.__d2") - a2 * c("__s.__d3")).alias("u_prev"),
-    )
 
 
 def _innovation() -> Column:
@@ -108,11 +57,11 @@ def arima_forecast(fit: DataFrame, horizon: int, series: str | Sequence[str] | N
 def arima_residuals(df, fit: DataFrame, value, order_by, series=None, sizing=None) -> DataFrame:
     """(series, order columns, residual): innovations of the fitted model on its own history."""
     keys, order = as_list(series), as_list(order_by)
-    rows = _differences(df, value, order_by, series, sizing)
+    rows = arima.differenced(df, value, order_by, series, 1, 3, sizing)
     params = fit.select(*keys, "phi", "theta", "a1", "a2", F.col("n").alias("__n"))
     joined = lookup_join(rows, params, keys, "__n") if keys else attach_row(rows, params)
-    u1 = F.col("__d1") - F.col("a1") * F.col("__d2") - F.col("a2") * F.col("__d3")
-    e = F.col("__d0") - F.col("phi") * F.col("__d1") - F.col("theta") * u1
+    u1 = F.col("__w1") - F.col("a1") * F.col("__w2") - F.col("a2") * F.col("__w3")
+    e = F.col("__w0") - F.col("phi") * F.col("__w1") - F.col("theta") * u1
     return joined.select(*dict.fromkeys([*keys, *order]), e.alias("residual")).filter(F.col("residual").isNotNull())
 
 
