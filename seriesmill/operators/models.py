@@ -1,29 +1,34 @@
 """Estimators behind model names, fitting with isolation, scoring in one pass, importances.
 
-All models train on the cluster through MLlib. Regularisation is scaled so that results equal those of the
+Linear models and forests train through MLlib, boosted trees, kernel regression and ARIMA through modules of their own,
+all on the cluster. Regularisation is scaled so that results equal those of the
 usual single-node definitions (penalty on the sum of squares, not on the mean).
 """
 
 from __future__ import annotations
 
-import math
+import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import as_double, as_list, quoted
+from seriesmill.functions.columns import as_double, as_list, field_type, is_string, quoted
+from seriesmill.operators import arima, boosting, kernel
+from seriesmill.operators.boosting import Boosted
+from seriesmill.operators.kernel import KernelFit
 from seriesmill.operators.quantiles import exact_quantiles
-from seriesmill.session import parallelism
+from seriesmill.session import materialize, parallelism
 
+MAX_CLASSES = 10_000
 CLASSIFICATION = "tabular_classification"
 REGRESSION = "tabular_regression"
 
@@ -33,8 +38,11 @@ DEFAULTS = {
     "DummyClassifier": {},
     "LinearModel": {"alpha": 1.0, "C": 1.0, "max_iter": 1000},
     "RandomForest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt"},
-    "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8},
+    "XGBoost": {
+        "n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.0, "reg_lambda": 1.0,
+    },
     "SVR": {"C": 1.0, "epsilon": 0.1, "kernel": "rbf", "gamma": "scale", "n_features": 64},
+    "ARIMA": {"p": 1, "d": 1, "q": 1},
 }
 
 
@@ -53,6 +61,7 @@ class Context:
     y_std: float = 0.0
     n_classes: int = 2
     seed: int = 42
+    labels: list[str] | None = None  # classes of a text target, in order; their numbers are what models learn
     extra: dict = field(default_factory=dict)
 
 
@@ -130,24 +139,8 @@ def _forest(params: dict, ctx: Context) -> Estimator:
     )
 
 
-def _boosted(params: dict, ctx: Context) -> Estimator:
-    common = dict(
-        labelCol=ctx.target,
-        maxIter=params["n_estimators"],
-        maxDepth=params["max_depth"],
-        stepSize=params["learning_rate"],
-        subsamplingRate=params["subsample"],
-        seed=ctx.seed,
-    )
-    if ctx.task != CLASSIFICATION:
-        return GBTRegressor(**common)
-    if ctx.n_classes > 2:
-        return OneVsRest(classifier=GBTClassifier(**common), labelCol=ctx.target)
-    return GBTClassifier(**common)
-
-
 Factory = Callable[[dict, Context], Estimator]
-_REGISTRY: dict[str, Factory] = {"LinearModel": _linear, "RandomForest": _forest, "XGBoost": _boosted}
+_REGISTRY: dict[str, Factory] = {"LinearModel": _linear, "RandomForest": _forest}
 
 
 def register_model(name: str, factory: Factory, defaults: dict | None = None) -> None:
@@ -158,12 +151,23 @@ def register_model(name: str, factory: Factory, defaults: dict | None = None) ->
 
 
 def available_models() -> list[str]:
-    return sorted({*_REGISTRY, "DummyRegressor", "DummyClassifier", "SVR", "ARIMA"})
+    return sorted({*_REGISTRY, "DummyRegressor", "DummyClassifier", "SVR", "ARIMA", "XGBoost"})
+
+
+def class_labels(train: DataFrame, target: str) -> list[str]:
+    """The classes of a text target in order, at most ``MAX_CLASSES``."""
+    found = train.select(quoted(target).alias("c")).filter("c IS NOT NULL").distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    return sorted((r["c"] for r in found), key=lambda c: c.encode())
 
 
 def training_context(
     train: DataFrame, features: Sequence[str], target: str, task: str = REGRESSION, seed: int = 42
 ) -> Context:
+    if is_string(field_type(train, target)):
+        labels = class_labels(train, target)
+        return Context(list(features), target, task, train.filter(quoted(target).isNotNull()).count(), 0.0, len(labels), seed, labels)
     row = train.agg(
         F.count(quoted(target)), F.stddev_pop(as_double(train, target)), F.max(as_double(train, target))
     ).first()
@@ -171,6 +175,13 @@ def training_context(
     return Context(list(features), target, task, row[0], row[1] or 0.0, classes, seed)
 
 
+def numbered(df: DataFrame, target: str, labels: list[str]) -> DataFrame:
+    """The text target as the number of its class; rows of other classes are left out."""
+    index = StringIndexerModel.from_labels(labels, inputCol=target, outputCol="__class", handleInvalid="skip")
+    out = index.transform(df)
+    return out.select(*[F.col("__class").alias(c) if c == target else quoted(c) for c in df.columns])
+
+
 def stable_partitions(df: DataFrame, key: str | Sequence[str], n: int | None = None) -> DataFrame:
     """Same rows in the same partitions in the same order, whatever the input layout: seeded trees repeat exactly."""
     keys = [quoted(k) for k in as_list(key)]
@@ -188,19 +199,58 @@ class FittedModel:
     constant: object = None
     params: dict = field(default_factory=dict)
     score_col: str | None = None
+    labels: list[str] | None = None
 
     def predict(self, df: DataFrame, out: str = "y_pred", score: str | None = None) -> DataFrame:
-        """Adds the prediction and, for binary classifiers, the score of the positive class."""
+        """Adds the prediction (text where the target is text) and, for binary classifiers, the score of the positive class."""
         if self.model is None:
-            done = df.withColumn(out, F.lit(self.constant).cast("double"))
+            value = F.lit(self.constant) if self.labels is not None else F.lit(self.constant).cast("double")
+            done = df.withColumn(out, value)
             return done.withColumn(score, F.lit(0.5)) if score else done
         scored = self.model.transform(df)
-        cols = [F.col("prediction").cast("double").alias(out)]
+        cols = [self.named(F.col("prediction").cast("double")).alias(out)]
         if score:
             has = "probability" in scored.columns
             cols.append((vector_to_array("probability")[1] if has else F.lit(None).cast("double")).alias(score))
         return scored.select(*[quoted(c) for c in df.columns], *cols)
 
+    def named(self, number: Column) -> Column:
+        return number if self.labels is None else F.get(F.array(*map(F.lit, self.labels)), number.cast("int"))
+
+
+@dataclass
+class BoostedModel(FittedModel):
+    """Second-order boosted trees; see ``boosting``."""
+
+    boosted: Boosted | None = None
+
+    def predict(self, df: DataFrame, out: str = "y_pred", score: str | None = None) -> DataFrame:
+        done = self.probabilities(df, "__p")
+        p = F.col("__p")
+        if self.boosted.loss == boosting.SQUARED:
+            value, second = p[0], F.lit(None).cast("double")
+        else:
+            value, second = self.named((F.array_position(p, F.array_max(p)) - 1).cast("double")), p[1]
+        cols = [value.alias(out), *([second.alias(score)] if score else [])]
+        return done.select(*[quoted(c) for c in df.columns], *cols)
+
+    def probabilities(self, df: DataFrame, out: str = "y_scores") -> DataFrame:
+        """Adds the probability of every class (the prediction itself for numbers) as an array."""
+        return df.withColumn(out, self.boosted.column(df))
+
+
+@dataclass
+class ArimaModel(FittedModel):
+    """One ARIMA fit per series; predicts rows that follow the training rows in order."""
+
+    fitted: DataFrame | None = None
+    order_by: list[str] = field(default_factory=list)
+    series: list[str] = field(default_factory=list)
+
+    def predict(self, df: DataFrame, out: str = "y_pred", score: str | None = None) -> DataFrame:
+        done = arima.forecast_rows(self.fitted, df, self.order_by, self.series, out)
+        return done.withColumn(score, F.lit(None).cast("double")) if score else done
+
 
 def fit_model(
     train: DataFrame,
@@ -211,27 +261,54 @@ def fit_model(
     task: str = REGRESSION,
     seed: int = 42,
     context: Context | None = None,
+    order_by: str | Sequence[str] | None = None,
+    series: str | Sequence[str] | None = None,
 ) -> FittedModel:
-    """Fits one registered model on ``train``."""
+    """Fits one registered model on ``train``. ARIMA also needs ``order_by`` and, for many series, ``series``."""
     full = {**default_params(name), **(params or {})}
+    if name == "ARIMA":
+        return _fit_arima(train, target, full, as_list(order_by), as_list(series))
+    text = is_string(field_type(train, target))
+    labels = (context.labels if context and context.labels else class_labels(train, target)) if text else None
+    if name == "DummyClassifier":
+        return FittedModel(name, target, list(features), None, majority_class(train, target), full, None, labels)
+    if text and task != CLASSIFICATION:
+        raise ValueError(f"{target} is text: only classification can predict it")
     if name == "DummyRegressor":
         return FittedModel(name, target, list(features), None, dummy_value(train, target, full["strategy"]), full)
-    if name == "DummyClassifier":
-        return FittedModel(name, target, list(features), None, majority_class(train, target), full)
     if name == "SVR":
         return _fit_kernel(train, features, target, full, seed)
-    if name not in _REGISTRY:
+    if name not in available_models():
         raise ValueError(f"unknown model {name!r}; available: {available_models()}")
-    # MLlib passes over the rows many times; what an executor loses is computed again
-    rows = train.select(*dict.fromkeys([*features, target])).persist()
+    # models pass over the rows many times; what an executor loses is computed again
+    rows = train.select(*dict.fromkeys([*features, target]))
+    rows = (numbered(rows, target, labels) if text else rows).persist()
     try:
         ctx = context or training_context(rows, features, target, task, seed)
+        if name == "XGBoost":
+            return _fit_boosted(rows, ctx, full, labels)
         pipeline = Pipeline(stages=[assembler(features), _REGISTRY[name](full, ctx)])
-        return FittedModel(name, target, list(features), pipeline.fit(rows), None, full)
+        return FittedModel(name, target, list(features), pipeline.fit(rows), None, full, None, labels)
     finally:
         rows.unpersist()
 
 
+def _fit_boosted(rows: DataFrame, ctx: Context, params: dict, labels: list[str] | None) -> BoostedModel:
+    many = ctx.n_classes > 2
+    loss = boosting.SQUARED if ctx.task != CLASSIFICATION else boosting.SOFTMAX if many else boosting.LOGISTIC
+    known = {k: v for k, v in params.items() if k in boosting.Settings.__dataclass_fields__}
+    made = boosting.fit(rows, ctx.features, ctx.target, loss, ctx.n_classes, boosting.Settings(**{"seed": ctx.seed, **known}))
+    return BoostedModel("XGBoost", ctx.target, list(ctx.features), None, None, params, None, labels, made)
+
+
+def _fit_arima(train: DataFrame, target: str, params: dict, order_by: list[str], series: list[str]) -> ArimaModel:
+    if not order_by:
+        raise ValueError("ARIMA needs the columns that order the rows: order_by")
+    order = tuple(int(params[k]) for k in "pdq")
+    fitted = materialize(arima.fit(train, target, order_by, series, order))  # one row per series
+    return ArimaModel("ARIMA", target, [], None, None, params, None, None, fitted, order_by, series)
+
+
 def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> FittedModel:
     return fit_model(df, features, y, "LinearModel", {"alpha": alpha})
 
@@ -259,36 +336,15 @@ def linear_coefficients(fitted: FittedModel, spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------- kernel regression
 
 
-class KernelFeatures:
-    """Random Fourier features of an RBF kernel as plain column expressions."""
-
-    def __init__(self, features: Sequence[str], gamma: float, size: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.features = list(features)
-        self.weights = rng.normal(0.0, math.sqrt(2.0 * gamma), (size, len(self.features)))
-        self.shifts = rng.uniform(0.0, 2.0 * math.pi, size)
-        self.names = [f"__rff_{j}" for j in range(size)]
-
-    def columns(self) -> dict[str, Column]:
-        scale = math.sqrt(2.0 / len(self.names))
-        out = {}
-        for j, name in enumerate(self.names):
-            inner: Column = F.lit(float(self.shifts[j]))
-            for k, f in enumerate(self.features):
-                inner = inner + quoted(f).cast("double") * F.lit(float(self.weights[j, k]))
-            out[name] = F.cos(inner) * F.lit(scale)
-        return out
-
-
 @dataclass
 class KernelModel(FittedModel):
-    kernel: KernelFeatures | None = None
+    """Epsilon-insensitive regression over random features; see ``kernel``."""
+
+    kernel: KernelFit | None = None
 
     def predict(self, df: DataFrame, out: str = "y_pred", score: str | None = None) -> DataFrame:
-        wide = df.withColumns(self.kernel.columns()) if self.kernel else df
-        scored = self.model.transform(wide)
         extra = [F.lit(None).cast("double").alias(score)] if score else []
-        return scored.select(*[quoted(c) for c in df.columns], F.col("prediction").alias(out), *extra)
+        return df.select(*[quoted(c) for c in df.columns], self.kernel.prediction().alias(out), *extra)
 
 
 def _gamma(train: DataFrame, features: Sequence[str], gamma) -> float:
@@ -305,24 +361,15 @@ def _gamma(train: DataFrame, features: Sequence[str], gamma) -> float:
 
 
 def _fit_kernel(train: DataFrame, features, target: str, params: dict, seed: int) -> KernelModel:
-    train = train.select(*dict.fromkeys([*features, target])).persist()
+    rows = train.select(*dict.fromkeys([*features, target])).persist()  # passed over until the objective stands still
     try:
-        return _fit_kernel_rows(train, features, target, params, seed)
+        if params["kernel"] not in ("rbf", "linear"):
+            raise ValueError("kernel must be 'rbf' or 'linear'")
+        gamma = _gamma(rows, features, params["gamma"]) if params["kernel"] == "rbf" else None
+        made = kernel.fit(rows, features, target, params["C"], params["epsilon"], gamma, params["n_features"], seed)
     finally:
-        train.unpersist()
-
-
-def _fit_kernel_rows(train: DataFrame, features, target: str, params: dict, seed: int) -> KernelModel:
-    kernel, wide, names = None, train, list(features)
-    if params["kernel"] == "rbf":
-        kernel = KernelFeatures(features, _gamma(train, features, params["gamma"]), params["n_features"], seed)
-        wide, names = train.withColumns(kernel.columns()), kernel.names
-    n = train.count()
-    fit = LinearRegression(
-        labelCol=target, loss="huber", epsilon=1.0 + params["epsilon"], regParam=1.0 / (params["C"] * max(1, n)), maxIter=100
-    )
-    model = Pipeline(stages=[assembler(names), fit]).fit(wide)
-    return KernelModel("SVR", target, list(features), model, None, params, None, kernel)
+        rows.unpersist()
+    return KernelModel("SVR", target, list(features), None, None, params, None, None, made)
 
 
 def kernel_regression(df, features, y, gamma="scale", D: int = 64, seed: int = 42, **params) -> FittedModel:  # noqa: N803
@@ -351,14 +398,19 @@ def fit_all(
     models: dict[str, dict | None],
     task: str = REGRESSION,
     seed: int = 42,
+    order_by: str | Sequence[str] | None = None,
+    series: str | Sequence[str] | None = None,
 ) -> FitReport:
-    """Fits ``{name: params}``; a model that fails is recorded and does not stop the others."""
+    """Fits ``{name: params}``; a model that fails is recorded and does not stop the others.
+
+    ``order_by`` and ``series`` are for models of time series. Classes may be text.
+    """
     context = training_context(train, features, target, task, seed)
     fitted, records = {}, []
     for name, params in models.items():
         start, error = time.time(), None
         try:
-            fitted[name] = fit_model(train, features, target, name, params, task, seed, context)
+            fitted[name] = fit_model(train, features, target, name, params, task, seed, context, order_by, series)
         except Exception as exc:  # noqa: BLE001
             error = str(exc)
         records.append(
@@ -383,50 +435,68 @@ def score_all(
         wide = model.predict(wide, f"__p{i}", f"__s{i}" if scores else None)
         cell = [F.lit(name).alias("model"), F.col(f"__p{i}").alias("y_pred")]
         parts.append(F.struct(*cell, *([F.col(f"__s{i}").alias("y_score")] if scores else [])))
-    y = quoted(target).cast("double").alias("y_true")
+    text = any(m.labels is not None for m in models.values())
+    y = (quoted(target) if text else quoted(target).cast("double")).alias("y_true")
     long = wide.select(*[quoted(k) for k in keys], y, F.inline(F.array(*parts)))
     return long.select(F.lit(run_id).alias("run_id"), "model", *keys, "y_true", "y_pred", *(["y_score"] if scores else []))
 
 
 def feature_importance(fitted: FittedModel, spark: SparkSession) -> DataFrame:
-    """(feature, importance), largest first."""
-    values = fitted.model.stages[-1].featureImportances.toArray()
+    """(feature, importance), largest first; they sum to 1 where a tree has split at all."""
+    boosted = isinstance(fitted, BoostedModel)
+    values = fitted.boosted.gains if boosted else fitted.model.stages[-1].featureImportances.toArray()
     rows = sorted(zip(fitted.features, map(float, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def gbt_history(fitted: FittedModel, train: DataFrame, val: DataFrame | None = None) -> DataFrame:
-    """(round, part, loss): squared error (log loss for classes) after every boosting round."""
-    inner = fitted.model.stages[-1]
-    vectors = fitted.model.stages[0]
+def gbt_history(fitted: BoostedModel, train: DataFrame, val: DataFrame | None = None) -> DataFrame:
+    """(round, part, loss): squared error (log loss for classes) after every boosting round; one pass per part."""
     rows = []
     for part, df in (("train", train), ("val", val)):
-        if df is None:
-            continue
-        data = vectors.transform(df)
-        is_regression = isinstance(inner, GBTRegressionModel)
-        losses = inner.evaluateEachIteration(data, "squared") if is_regression else inner.evaluateEachIteration(data)
-        rows += [(i, part, float(v)) for i, v in enumerate(losses, 1)]
+        if df is not None:
+            data = df if fitted.labels is None else numbered(df, fitted.target, fitted.labels)
+            rows += [(i, part, float(v)) for i, v in enumerate(fitted.boosted.history(data, fitted.target), 1)]
     return train.sparkSession.createDataFrame(rows, "round int, part string, loss double")
 
 
+_META = "kind string, name string, target string, features array<string>, params string, labels array<string>, content string"
+
+
 def save_model(fitted: FittedModel, path: str) -> None:
-    """Saves an MLlib pipeline model and, next to it, what is needed to use it again."""
-    if fitted.model is None or isinstance(fitted, KernelModel):
-        raise ValueError("only pipeline models are saved; constants and kernel models are refitted")
-    fitted.model.write().overwrite().save(path + "/model")
-    meta = [(fitted.name, fitted.target, fitted.features, {k: str(v) for k, v in fitted.params.items()})]
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame(
-        meta, "name string, target string, features array<string>, params map<string,string>"
-    ).write.mode("overwrite").json(path + "/meta")
+    """Saves any fitted model: what it needs besides an MLlib pipeline or a table of series is one JSON row."""
+    kind, content = "mllib", {}
+    if isinstance(fitted, BoostedModel):
+        kind, content = "boosted", boosting.to_dict(fitted.boosted)
+    elif isinstance(fitted, KernelModel):
+        k, lists = fitted.kernel, lambda x: None if x is None else x.tolist()
+        kind, content = "kernel", {"weights": lists(k.weights), "shifts": lists(k.shifts), "coef": lists(k.coef), "intercept": k.intercept, "objective": k.objective, "passes": k.passes}
+    elif isinstance(fitted, ArimaModel):
+        kind, content = "arima", {"order_by": fitted.order_by, "series": fitted.series}
+        fitted.fitted.write.mode("overwrite").parquet(path + "/fits")
+    elif fitted.model is None:
+        kind, content = "constant", {"value": fitted.constant}
+    else:
+        fitted.model.write().overwrite().save(path + "/model")
+    meta = [(kind, fitted.name, fitted.target, fitted.features, json.dumps(fitted.params), fitted.labels, json.dumps(content))]
+    SparkSession.getActiveSession().createDataFrame(meta, _META).write.mode("overwrite").json(path + "/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> FittedModel:
-    meta = spark.read.schema("name string, target string, features array<string>, params map<string,string>").json(
-        path + "/meta"
-    ).first()
-    return FittedModel(meta["name"], meta["target"], meta["features"], PipelineModel.load(path + "/model"), None, meta["params"])
+    """A saved model; it predicts as the one that was saved."""
+    meta = spark.read.schema(_META).json(path + "/meta").first()
+    own = (meta["name"], meta["target"], meta["features"])
+    params, labels, content = json.loads(meta["params"]), meta["labels"], json.loads(meta["content"])
+    if meta["kind"] == "boosted":
+        return BoostedModel(*own, None, None, params, None, labels, boosting.from_dict(content))
+    if meta["kind"] == "kernel":
+        arrays = {c: None if content[c] is None else np.array(content[c]) for c in ("weights", "shifts", "coef")}
+        made = KernelFit(meta["features"], *arrays.values(), content["intercept"], content["objective"], content["passes"])
+        return KernelModel(*own, None, None, params, None, labels, made)
+    if meta["kind"] == "arima":
+        return ArimaModel(*own, None, None, params, None, labels, spark.read.parquet(path + "/fits"), content["order_by"], content["series"])
+    if meta["kind"] == "constant":
+        return FittedModel(*own, None, content["value"], params, None, labels)
+    return FittedModel(*own, PipelineModel.load(path + "/model"), None, params, None, labels)
 
 
 # ---------------------------------------------------------------- model selection

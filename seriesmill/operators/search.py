@@ -1,18 +1,22 @@
-"""Hyper-parameter search on the frozen validation rows: seeded random candidates, one cluster fit per trial."""
+"""Hyper-parameter search on the frozen validation rows: seeded random candidates, trials run side by side."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.functions.columns import quoted
 from seriesmill.functions.metrics import compute_metrics
 from seriesmill.operators.models import REGRESSION, FittedModel, fit_model, training_context
 from seriesmill.operators.protocol import HIGHER_IS_BETTER
+from seriesmill.session import materialize
 
 # Search spaces. ("int", low, high), ("float", low, high), ("log", low, high), ("choice", ...).
 SPACES = {
@@ -21,6 +25,9 @@ SPACES = {
         "max_depth": ("int", 3, 15),
         "learning_rate": ("log", 0.01, 0.3),
         "subsample": ("float", 0.6, 1.0),
+        "colsample_bytree": ("float", 0.6, 1.0),
+        "reg_alpha": ("log", 1e-8, 10.0),
+        "reg_lambda": ("log", 1e-8, 10.0),
     },
     "RandomForest": {
         "n_estimators": ("int", 50, 300),
@@ -64,9 +71,8 @@ def val_score(model: FittedModel, val: DataFrame, metric: str) -> float | None:
     """One metric on the validation rows; null when it is not finite."""
     needs_score = metric == "roc_auc"
     scored = model.predict(val, "y_pred", "y_score" if needs_score else None)
-    pred = scored.select(
-        F.col(model.target).cast("double").alias("y_true"), "y_pred", *(["y_score"] if needs_score else [])
-    )
+    truth = quoted(model.target) if model.labels is not None else quoted(model.target).cast("double")
+    pred = scored.select(truth.alias("y_true"), "y_pred", *(["y_score"] if needs_score else []))
     value = compute_metrics(pred, [], [metric]).first()[metric]
     return value if value is not None and math.isfinite(value) else None
 
@@ -94,28 +100,36 @@ def tune(
     seed: int = 42,
     task: str = REGRESSION,
     space: dict | None = None,
+    at_once: int | None = None,
 ) -> SearchResult:
-    """Best of ``n_trials`` random parameter sets on the validation rows; a failed trial scores worst."""
+    """Best of ``n_trials`` random parameter sets on the validation rows; a failed trial scores worst.
+
+    Trials run ``at_once`` (by default a fourth of the parallelism, 2 at least) as jobs of their own scheduler pools, so the tail of
+    one fit leaves no core idle; results do not depend on it. Both parts are written once and read by every trial.
+    If no trial has a score, there are no best parameters.
+    """
     higher = HIGHER_IS_BETTER.get(metric, False)
     worst = -math.inf if higher else math.inf
     context = training_context(train, features, target, task, seed)
     columns = [*dict.fromkeys([*features, target])]
-    # both parts are read once per trial; what an executor loses is computed again from the source
-    parts = [d.select(*columns).persist() for d in (train, val)]
-    trials = []
-    try:
-        for i, params in enumerate(sample_space(name, n_trials, seed, space)):
-            score, error = None, None
-            try:
-                model = fit_model(parts[0], features, target, name, params, task, seed, context)
-                score = val_score(model, parts[1], metric)
-            except Exception as exc:  # noqa: BLE001
-                error = str(exc)
-            trials.append({"trial": i, "params": params, "score": worst if score is None else score, "error": error})
-    finally:
-        for d in parts:
-            d.unpersist()
-    pick = max if higher else min
-    best = pick(trials, key=lambda t: t["score"])
-    finite = best["score"] if math.isfinite(best["score"]) else None
-    return SearchResult(best["params"], finite, trials)
+    parts = [materialize(d.select(*columns)) for d in (train, val)]
+    sc = train.sparkSession.sparkContext
+
+    def trial(i: int, params: dict) -> dict:
+        sc.setLocalProperty("spark.scheduler.pool", f"trial-{i}")
+        score, error = None, None
+        try:
+            model = fit_model(parts[0], features, target, name, params, task, seed, context)
+            score = val_score(model, parts[1], metric)
+        except Exception as exc:  # noqa: BLE001
+            error = str(exc)
+        return {"trial": i, "params": params, "score": worst if score is None else score, "error": error}
+
+    with ThreadPoolExecutor(at_once or max(2, sc.defaultParallelism // 4)) as pool:
+        # each thread takes over the caller's job group and description
+        jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(trial), i, p) for i, p in enumerate(sample_space(name, n_trials, seed, space))]
+        trials = [j.result() for j in jobs]
+    best = (max if higher else min)(trials, key=lambda t: t["score"])
+    if not math.isfinite(best["score"]):
+        return SearchResult({}, None, trials)
+    return SearchResult(best["params"], best["score"], trials)

@@ -18,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ser
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.unix.domain.socket.enabled", "true")  # spares short Python tasks the delays of TCP
         .getOrCreate()
     )
 
