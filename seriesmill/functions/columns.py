@@ -99,6 +99,19 @@ def order_code(df: DataFrame, col: str) -> Column:
     raise TypeError(f"cannot order by {col}: {dt.simpleString()}")
 
 
+def literal(value: object, dt: T.DataType) -> Column:
+    """A collected value as a literal of its column's type.
+
+    Python's datetimes do not tell local time from instants: as a plain literal, a time without zone would be read in the
+    zone of this process and compared in the session's.
+    """
+    if value is not None and isinstance(dt, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(dt)
+    if value is not None and isinstance(dt, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(value.replace(microsecond=0).timestamp()) * 1_000_000 + value.microsecond))
+    return F.lit(value).cast(dt)
+
+
 def ascending(cols: Sequence[str]) -> list[Column]:
     return [quoted(c).asc_nulls_last() for c in cols]
 

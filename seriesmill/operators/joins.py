@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import as_list, quoted
+from seriesmill.functions.columns import as_list, literal, quoted
 
 BROADCAST_ROWS = 500_000  # narrow lookup tables up to this many rows are broadcast
 HOT_SHARE = 1_000  # a key with more than 1/HOT_SHARE of the rows is salted
@@ -58,4 +58,4 @@ def lookup_join(
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row aggregate to every row, as literals."""
     row = one_row.first()
-    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema.fields})
+    return df.withColumns({f.name: literal(row[f.name], f.dataType) for f in one_row.schema.fields})

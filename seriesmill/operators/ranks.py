@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import ascending, order_code, quoted
+from seriesmill.functions.columns import ascending, field_type, literal, order_code, quoted
 
 TAKE_ROWS = 200_000  # remaining rows that are sorted by a bounded top-k
 _ACCURACY = 10_000
@@ -47,7 +47,7 @@ def row_at(df: DataFrame, order_by: Sequence[str], rank: int, n: int | None = No
             pivot = part.agg(F.min_by(c, F.when(c.isNotNull(), F.xxhash64(c, F.lit(step))))).first()[0]
             if pivot is None:
                 break  # only nulls are left: equal in this column
-            v = F.lit(pivot)
+            v = literal(pivot, field_type(df, col))
             under, same = part.agg(F.count_if(c < v), F.count_if(c == v)).first()
             if rank < under:
                 part, size = part.filter(c < v), under
@@ -60,15 +60,15 @@ def row_at(df: DataFrame, order_by: Sequence[str], rank: int, n: int | None = No
     return part.limit(1).first()  # all rows left are equal in every order column
 
 
-def up_to(order_by: Sequence[str], row: Row) -> Column:
-    """True for rows at or before ``row`` in the order (nulls last)."""
+def up_to(df: DataFrame, order_by: Sequence[str], row: Row) -> Column:
+    """True for rows of ``df`` at or before ``row`` in the order (nulls last)."""
     test: Column | None = None
     for col in reversed(list(order_by)):
         c = quoted(col)
         if row[col] is None:
             before, same = c.isNotNull(), c.isNull()
         else:
-            bound = F.lit(row[col])
+            bound = literal(row[col], field_type(df, col))
             before, same = F.coalesce(c < bound, F.lit(False)), F.coalesce(c == bound, F.lit(False))
         test = (before | same) if test is None else (before | (same & test))
     return test

@@ -12,13 +12,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import as_list, hash_order, quoted
 from seriesmill.operators.joins import lookup_join
 from seriesmill.operators.ordering import Sizing, fit_layout
 from seriesmill.operators.ranks import hash_rows_at, row_at, up_to
+from seriesmill.session import materialize
 
 STRATEGIES = ("random", "stratified", "chronological", "group_kfold", "time_series_cv")
 MINIMUM_TEST_SAMPLES = 30
@@ -81,7 +82,7 @@ def _by_cuts(
         rows = [row_at(df, order, rank, n) for rank in ranks]
     out = F
     for (name, _), row in zip(ends, rows):
-        out = out.when(up_to(order, row), name)
+        out = out.when(up_to(df, order, row), name)
     last = ends[-1][0] if len(ends) > len(rows) else rest
     return F.lit(last) if out is F else out.otherwise(F.lit(last))
 
@@ -101,18 +102,22 @@ def split_random(
 
 
 def _quotas(strata: DataFrame, rows: str, want: int, out: str) -> DataFrame:
-    """Largest-remainder share of ``want`` rows per stratum; a tie goes to the smaller class value."""
+    """Largest-remainder share of ``want`` rows per stratum (``__c``); a tie goes to the smaller class value.
+
+    The classes that get one row more are those up to a rank in the order of the remainders; its row is searched by
+    narrowing ranges, so any number of classes is apportioned without being sorted in one task.
+    """
+    total = strata.agg(F.sum(rows)).first()[0] or 0
+    if not total:
+        return strata.withColumn(out, F.lit(0).cast("bigint"))
     # decimals: the product leaves 64 bits from about 1e10 rows
-    total = F.sum(rows).over(Window.partitionBy()).cast("decimal(19,0)")
+    whole, order = F.lit(total).cast("decimal(19,0)"), ["__less", "__c"]
     exact = F.lit(want).cast("decimal(19,0)") * F.col(rows).cast("decimal(19,0)")
-    over = F.coalesce(F.try_mod(exact, total), F.lit(0).cast("decimal(38,0)"))
-    base = F.coalesce(F.try_divide(exact - over, total).cast("bigint"), F.lit(0).cast("bigint"))
-    w = Window.orderBy(F.col("__over").desc(), F.col("__c").asc_nulls_last())
-    left = F.lit(want) - F.sum("__base").over(Window.partitionBy())
-    ranked = strata.withColumns({"__base": base, "__over": over}).withColumn("__rank", F.row_number().over(w)).withColumn("__left", left)
-    return ranked.withColumn(out, F.col("__base") + (F.col("__rank") <= F.col("__left")).cast("int")).drop(
-        "__base", "__over", "__rank", "__left"
-    )
+    ranked = strata.withColumn("__less", -F.try_mod(exact, whole))
+    ranked = ranked.withColumn("__base", ((exact + F.col("__less")) / whole).cast("bigint"))
+    left = want - ranked.agg(F.sum("__base")).first()[0]
+    more = up_to(ranked, order, row_at(ranked, order, left - 1)).cast("bigint") if left > 0 else F.lit(0)
+    return ranked.withColumn(out, F.col("__base") + more).drop("__less", "__base")
 
 
 def split_stratified(
@@ -125,8 +130,7 @@ def split_stratified(
 ) -> DataFrame:
     """Each class gives its share of every part; inside a class rows are ranked by hash."""
     hashed, order = _hashed(df, key, seed)
-    # one row per class: windows without partitioning stay on this small aggregate
-    strata = df.groupBy(quoted(by).alias("__c")).agg(F.count(F.lit(1)).cast("bigint").alias("__n"))
+    strata = materialize(df.groupBy(quoted(by).alias("__c")).agg(F.count(F.lit(1)).cast("bigint").alias("__n")))  # one row per class
     n = strata.agg(F.sum("__n")).first()[0] or 0
     n_test = math.ceil(n * fractions.test)
     n_val = math.ceil((n - n_test) * fractions.val_of_rest)
