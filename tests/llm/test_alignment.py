@@ -1,6 +1,7 @@
 """Token alignment against a loop over all pairs of tokens."""
 
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -43,10 +44,11 @@ def brute(rows):
                 j += 1
         counts.update(links)
         cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups, start = [], 0
-        for cut in cuts:
-            groups.append("|".join(",".join(str(i) for i, (s, e) in zip(ids, sp_) if start <= s < cut) for ids, sp_ in zip((a, b), spans)))
-            start = cut
+        sides = [([], []) for _ in cuts]
+        for side, ids in enumerate((a, b)):
+            for i, (s, _) in zip(ids, spans[side]):
+                sides[bisect_right(cuts, s)][side].append(str(i))
+        groups = ["|".join(map(",".join, x)) for x in sides]
         done.append((d, len(a), len(b), links, ";".join(groups), len(groups)))
     top = Counter()
     for (_, j), n in counts.items():
