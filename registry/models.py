@@ -163,12 +163,119 @@ def h6_doc(spark, d):
     return J.compute_metrics(scored.withColumn("model", F.lit("boosted")), ["model"], ["accuracy", "f1_weighted"])
 
 
-@query("i1_tune")
+_LRANDOM = (
+    f"r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', {', '.join(f'CAST({k} AS VARCHAR)' for k in _KEY)})), {', '.join(_KEY)}) AS r, count(*) OVER () AS n FROM lineitem), "
+    "s AS (SELECT *, CASE WHEN r <= ceil(n * 0.2::DOUBLE) THEN 'test' WHEN r <= ceil(n * 0.2::DOUBLE) + "
+    "ceil((n - ceil(n * 0.2::DOUBLE)) * (0.1::DOUBLE / (0.7::DOUBLE + 0.1::DOUBLE))) THEN 'val' ELSE 'train' END AS split FROM r)"
+)
+_MEAN_RMSE = "(SELECT round(sqrt(avg(pow(l_extendedprice - (SELECT avg(l_extendedprice) FROM s WHERE split = 'train'), 2))), 2) FROM s WHERE split = 'val')"
+
+
+@query(
+    "i1_tune",
+    f"WITH {_LRANDOM} SELECT m AS model, 20 AS trials, 0 AS failed, TRUE AS best_is_least, {_MEAN_RMSE} AS mean_rmse, TRUE AS near_mean "
+    "FROM (SELECT unnest(['LinearModel', 'RandomForest']) AS m)",
+)
 def i1(spark, d):
+    """20 trials of each model over its full space; the best is within 5 % of the mean's error or better (these features tell little)."""
+    df = _lines(spark, d)
+    train, val = _train(df), df.filter("split = 'val'")
+    mean = H.dummy_value(train, "l_extendedprice")
+    base = val.agg(F.sqrt(F.avg((F.col("l_extendedprice") - mean) * (F.col("l_extendedprice") - mean)))).first()[0]
+    rows = []
+    for m in ("LinearModel", "RandomForest"):
+        found = I.tune(m, train, val, _FEATS, "l_extendedprice", "rmse")
+        scores = [t["score"] for t in found.trials]
+        rows.append((m, len(scores), sum(t["error"] is not None for t in found.trials), found.best_score == min(scores), round(base, 2), (found.best_score or 1e300) <= 1.05 * base))
+    return spark.createDataFrame(rows, "model string, trials int, failed int, best_is_least boolean, mean_rmse double, near_mean boolean")
+
+
+_MARGIN = "CAST(l_quantity AS DOUBLE)", "CAST(l_discount AS DOUBLE)"
+
+
+def _boosted_sql(rounds: int, rate: float) -> str:
+    """Exact greedy trees of depth 2 over two features: squared error, lambda 1, every value a cut."""
+    ctes = [f"p0 AS (SELECT {_MARGIN[0]} AS a, {_MARGIN[1]} AS b, CAST(l_extendedprice AS DOUBLE) AS y, (SELECT avg(l_extendedprice) FROM lineitem) AS m FROM lineitem)"]
+    for r in range(rounds):
+        ctes.append(f"q{r}_0 AS (SELECT *, m - y AS g, 0 AS node FROM p{r})")
+        for level in range(2):
+            src = f"q{r}_{level}"
+            ctes.append(
+                f"h{r}_{level} AS (SELECT node, 0 AS f, a AS v, sum(g) AS g, count(*) AS h FROM {src} GROUP BY 1, 3 UNION ALL SELECT node, 1, b, sum(g), count(*) FROM {src} GROUP BY 1, 3)"
+            )
+            ctes.append(
+                f"c{r}_{level} AS (SELECT node, f, v, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER w AS gt, sum(h) OVER w AS ht FROM h{r}_{level} "
+                "WINDOW u AS (PARTITION BY node, f ORDER BY v), w AS (PARTITION BY node, f))"
+            )
+            gain = "gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)"
+            ctes.append(f"s{r}_{level} AS (SELECT node, f, v FROM c{r}_{level} WHERE ht > hl QUALIFY row_number() OVER (PARTITION BY node ORDER BY {gain} DESC, f, v) = 1)")
+            ctes.append(f"q{r}_{level + 1} AS (SELECT x.* EXCLUDE (node), 2 * x.node + (CASE WHEN s.f = 0 THEN x.a ELSE x.b END > s.v)::INT AS node FROM {src} x JOIN s{r}_{level} s USING (node))")
+        ctes.append(f"l{r} AS (SELECT node, -{rate} * sum(g) / (count(*) + 1) AS leaf FROM q{r}_2 GROUP BY 1)")
+        ctes.append(f"p{r + 1} AS (SELECT a, b, y, m + leaf AS m FROM q{r}_2 JOIN l{r} USING (node))")
+    return f"WITH {', '.join(ctes)} SELECT DISTINCT a AS l_quantity, b AS l_discount, round(m, 3) AS y_pred FROM p{rounds}"
+
+
+@query("h6_boosted_exact", _boosted_sql(2, 0.3))
+def h6_exact(spark, d):
+    """Two rounds of depth 2 without sampling: every cut of the exact greedy trees."""
+    df = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    fit = H.gbt(df, ["l_quantity", "l_discount"], "l_extendedprice", n_estimators=2, max_depth=2, learning_rate=0.3, subsample=1.0, colsample_bytree=1.0)
+    seen = df.selectExpr("CAST(l_quantity AS DOUBLE) AS l_quantity", "CAST(l_discount AS DOUBLE) AS l_discount").distinct()
+    return rounded(fit.predict(seen), ["l_quantity", "l_discount"], ["y_pred"], 3)
+
+
+@query("h6_multiclass_scores", "SELECT source, count(*) AS n, CAST(count(*) AS DOUBLE) AS total_score, count(*) AS named FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def h6_scores(spark, d):
+    """Text classes: the scores of every row sum to 1 and every row gets a class that exists."""
+    docs = read(spark, d, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    df = docs.select("source", "lang", F.col("n_chars").cast("double").alias("chars"), F.size(F.split("text", r"\s+")).cast("double").alias("words"))
+    fit = H.gbt(df, ["chars", "words"], "lang", H.CLASSIFICATION, n_estimators=10)
+    out = fit.probabilities(fit.predict(df))
+    total = F.aggregate("y_scores", F.lit(0.0), lambda a, x: a + x)
+    return out.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(total), 6).alias("total_score"), F.count_if(F.col("y_pred").isin(fit.labels)).alias("named")
+    )
+
+
+@query("h4_logistic_mean_score", f"WITH {_LRANDOM} SELECT count(*) AS n, round(avg((l_returnflag = 'R')::INT), 4) AS mean_score FROM s WHERE split = 'train'")
+def h4_mean(spark, d):
+    """At the optimum the mean score of the training rows is the share of the positive class."""
+    train = _train(_lines(spark, d))
+    fit = H.logistic(train, _FEATS, "returned", 1.0)
+    return fit.predict(train, "y_pred", "y_score").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y_score"), 4).alias("mean_score"))
+
+
+@query(
+    "h9_kernel_beats_mean",
+    "WITH x AS (SELECT abs(o_totalprice - (SELECT avg(o_totalprice) FROM orders)) AS e FROM orders) "
+    "SELECT count(*) AS n, round(avg(e), 2) AS mean_error, TRUE AS better FROM x",
+)
+def h9_beats(spark, d):
+    """Order totals from the sums of their lines."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"), F.sum("l_quantity").alias("quantity"))
+    df = read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0.0, ["total", "quantity"])
+    df = df.select("o_orderkey", "o_totalprice", (F.col("total") / 1e5).alias("total"), (F.col("quantity") / 1e2).alias("quantity"))
+    fit = H.kernel_regression(df, ["total", "quantity"], "o_totalprice", gamma=0.5, C=1.0, epsilon=0.1)
+    mean = df.agg(F.avg("o_totalprice")).first()[0]
+    error = F.abs(F.col("o_totalprice") - mean)
+    mine = F.avg(F.abs(F.col("o_totalprice") - F.col("y_pred")))
+    return fit.predict(df).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(error), 2).alias("mean_error"), (mine <= F.avg(error)).alias("better"))
+
+
+@query(
+    "h16_scored_rows",
+    f"WITH {_LRANDOM} SELECT m AS model, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys, round(sum(l_extendedprice), 2) AS truth, count(*) AS scored FROM s, "
+    "(SELECT unnest(['ARIMA', 'DummyRegressor', 'LinearModel', 'SVR', 'XGBoost']) AS m) WHERE split = 'test' GROUP BY 1",
+)
+def h16_rows(spark, d):
+    """Every model of five kinds scores every row of the test part once."""
     df = _lines(spark, d)
-    found = {m: I.tune(m, _train(df), df.filter("split = 'val'"), _FEATS, "l_extendedprice", "rmse") for m in ("LinearModel", "RandomForest")}
-    linear, forest = (r.table(spark).select(F.lit(m).alias("model"), "*") for m, r in found.items())
-    return linear.unionByName(forest)
+    models = {"DummyRegressor": None, "LinearModel": None, "XGBoost": {"n_estimators": 10}, "SVR": {"n_features": 16}, "ARIMA": {"p": 1, "d": 0, "q": 0}}
+    report = H.fit_all(_train(df), _FEATS, "l_extendedprice", models, order_by=_KEY)
+    long = H.score_all(report.models, df.filter("split = 'test'"), _KEY, "l_extendedprice")
+    return long.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").cast("bigint").alias("keys"), F.round(F.sum("y_true"), 2).alias("truth"), F.count("y_pred").alias("scored")
+    )
 
 
 @query(

@@ -136,6 +136,35 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet", partition_by
         raise ValueError(f"unsupported file format: {fmt!r}")
 
 
+_COMMITS = "_commits"  # readers of the table pass over names that begin with _
+_RECORD = "run_id string, partitions array<string>, rows bigint"
+
+
+def write_parts(df: DataFrame, path: str, run_id: str, partition_by: str = "split") -> DataFrame:
+    """Replaces the partitions that ``df`` holds, and no others, and records the commit; returns the record.
+
+    A run may be repeated, or retried after a failure at any point: its partitions are replaced as a whole, its record is
+    written last and under its own name, so the table holds every row once and only complete runs are on record.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    spark, part = df.sparkSession, quoted(partition_by)
+    written = spark.read.parquet(path).join(F.broadcast(df.select(part.alias("__p")).distinct()), part.eqNullSafe(F.col("__p")), "left_semi")
+    found = written.groupBy(part.cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))  # footers only
+    record = found.agg(F.lit(run_id).alias("run_id"), F.array_sort(F.collect_list("p")).alias("partitions"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    record.coalesce(1).write.mode("overwrite").json(f"{path}/{_COMMITS}/{run_id}")
+    return commits(spark, path).filter(F.col("run_id") == run_id)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, partitions, rows) of every complete run."""
+    return spark.read.schema(_RECORD).option("recursiveFileLookup", "true").json(f"{path}/{_COMMITS}")
+
+
+def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result documents with the columns of ``schema``; fields that a document lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
 def write_artifact(df: DataFrame, path: str) -> None:
     """Writes result documents, one JSON object per row, atomically through the output committer."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

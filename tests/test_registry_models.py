@@ -16,7 +16,7 @@ def caught(spark, monkeypatch):
     """Params and training rows that a query reaches ``fit_model`` with."""
 
     def of(query):
-        def fit(train, features, target, name, params=None, task=None, seed=42, context=None):
+        def fit(train, features, target, name, params=None, task=None, seed=42, context=None, order_by=None, series=None):
             raise Called(R.H.default_params(name) | (params or {}), R.H.default_params(name), train.select(target).distinct().count())
 
         monkeypatch.setattr(R.H, "fit_model", fit)
