@@ -63,6 +63,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that none is mistaken for a column made on the way."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def words(text: Column) -> Column:
     """The runs of characters other than space and tab to carriage return; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import settle, word_count
+from seriesmill.llm.common import settle, whole_row, word_count
 
 BITS, LEVELS = 12, 4  # bits of the digest per histogram, and how often the boundary bucket is cut again
 
@@ -117,7 +117,8 @@ def with_copies(docs: DataFrame, cut: DataFrame, max_repeats: float = 2, seed: i
     )
 
 
-def mix(docs: DataFrame, cut: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    taken = with_copies(docs, cut, **options).filter("copies > 0")
-    return taken.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, cut: DataFrame, max_repeats: float = 2, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as it is taken. Columns of any name are kept as they are."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), whole_row(docs))
+    taken = with_copies(rows, cut, max_repeats, seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

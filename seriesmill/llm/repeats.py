@@ -263,12 +263,14 @@ def _windows(length: int):
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``ord`` and ``var`` (order of documents), ``doc_id``, ``text`` and the other columns as the struct ``row``.
+    """``ord`` and ``var`` (order of documents), ``doc_id``, ``text``, ``null_text`` and the other columns as the struct ``row``.
 
     Only where ids repeat are texts told apart.
     """
-    rest = F.struct(docs[text_col].isNull().alias("null_text"), *[docs[c] for c in docs.columns if c not in (text_col, "null_text")]).alias("row")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest)
+    own = [docs[c] for c in docs.columns if c != text_col]
+    rest = (F.struct(*own) if own else F.lit(None)).alias("row")
+    null = docs[text_col].isNull().alias("null_text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), null, rest)
     docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(2**63 - 1)))
     if docs.groupBy("ord").count().filter("count > 1").isEmpty():
         return docs.withColumn("var", F.lit(0))
@@ -365,6 +367,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     out = _with_spans(docs, length, id_col, text_col, GROUP_LIMIT)
     out = out.withColumn("spans", whole_characters(F.col("raw"), F.col("spans")))
     cut = F.when(F.size("spans") == 0, F.col("text")).otherwise(kept_bytes(F.col("raw"), F.col("spans")).cast("string"))
-    out = out.withColumn("cut", F.when(F.col("row.null_text"), None).otherwise(cut))
+    out = out.withColumn("cut", F.when(F.col("null_text"), None).otherwise(cut))
     made = {text_col: F.col("cut"), chars_col: F.when(F.size("spans") == 0, F.col(f"row.{chars_col}")).otherwise(F.char_length("cut").cast("long")) if chars_col in docs.columns else None}
     return out.select(*[(made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns])

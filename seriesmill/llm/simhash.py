@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.llm.common import ready, settle
+from seriesmill.llm.common import ready, settle, whole_row
 from seriesmill.llm.components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and bits
@@ -148,10 +148,10 @@ def first_rows(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
     kept = grouped.groupBy("root").agg(F.min(place).alias("p"))
     kept = kept.select(F.col("p.id").alias("_kept_id"), F.col("p.key").alias("_kept_key")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_key"] == kept["_kept_key"]), "left_semi")
-    same = Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(), "_key").orderBy(F.lit(1))
-    return rows.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*docs.columns)
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("key"), whole_row(docs))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["_kept_id"]) & (rows["key"] == kept["_kept_key"]), "left_semi")
+    same = Window.partitionBy(F.coalesce("id", F.lit(0)), F.col("id").isNull(), "key").orderBy(F.lit(1))
+    return rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("row.*")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
