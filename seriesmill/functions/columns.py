@@ -73,11 +73,23 @@ def safe_name(value: object) -> str:
     return re.sub(r"[`\n\r]", "_", str(value))
 
 
-def order_code(df: DataFrame, col: str) -> Column:
+def common_head(low: str, high: str) -> int:
+    """Bytes that all strings between two strings have in common at their start."""
+    a, b = low.encode(), high.encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def text_code(value: str, head: int) -> float:
+    """``order_code`` of one string."""
+    return float(int.from_bytes(value.encode()[head : head + 6].ljust(6, b"\0"), "big"))
+
+
+def order_code(df: DataFrame, col: str, head: int | Column = 0) -> Column:
     """A double that never decreases when the column grows, for cutting a sort order into ranges.
 
     Equal codes do not imply equal values (long strings share a prefix), so the code only decides
-    in which range a row falls; the rows inside a range are sorted by the real column.
+    in which range a row falls; the rows inside a range are sorted by the real column. Strings that all share ``head``
+    bytes are told apart by the six bytes after them.
     """
     c, dt = quoted(col), field_type(df, col)
     if isinstance(dt, T.TimestampType):
@@ -94,8 +106,9 @@ def order_code(df: DataFrame, col: str) -> Column:
     if isinstance(dt, T.BooleanType) or is_numeric(dt):
         return c.cast("double")
     if is_string(dt):
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        start = head + 1 if isinstance(head, int) else head.cast("int") + 1
+        six = F.substring(c.cast("binary"), start, 6 if isinstance(head, int) else F.lit(6))
+        return F.conv(F.rpad(F.hex(six), 12, "0"), 16, 10).cast("double")
     raise TypeError(f"cannot order by {col}: {dt.simpleString()}")
 
 

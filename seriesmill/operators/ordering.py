@@ -5,7 +5,8 @@ series key puts a series that holds a third of all rows into one task. Both are
 same way. The sort order is cut into *blocks* of similar size:
 
 * quantiles of a numeric code of the first order column give the cut points (one aggregation);
-* a value which repeats in the quantiles is hot, and its rows are cut again by the next order column;
+* a value which repeats in the quantiles is hot, and its rows are cut again by the next order column; strings that
+  only begin alike are first cut again by the bytes after what they have in common, group by group;
 * block sizes are counted once (one row per block reaches the driver), giving every block's offset.
 
 Windows are then partitioned by (series, block). Rows just before a block are copied into it
@@ -23,7 +24,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmill.functions.columns import ascending, as_list, descending, order_code, quoted
+from seriesmill.functions.columns import (
+    ascending, as_list, common_head, descending, field_type, is_string, order_code, quoted, text_code,
+)
 from seriesmill.session import parallelism
 
 BLK = "__blk"
@@ -31,6 +34,7 @@ HALO = "__halo"
 _MAX_BLOCKS = 8192  # upper bound of cut points per level: what the driver and a broadcast may hold
 _LEVEL_BASE = 16384  # more than _MAX_BLOCKS + 2, so that level codes do not overlap
 _MAX_LEVELS = 3
+_MAX_TEXT_LEVELS = 4  # without a series key
 _NULL_CODE = 1.7e308  # nulls sort last
 
 
@@ -46,11 +50,12 @@ class Sizing:
 DEFAULT_SIZING = Sizing()
 
 
-@dataclass(frozen=True)
+@dataclass
 class _Level:
     key: str
     splits: list[float]
-    hot: list[tuple[float, float, float]] = field(default_factory=list)  # (code, min next, max next)
+    hot: list[tuple[float, float, float, int]] = field(default_factory=list)  # (code, min next, max next, common head)
+    after: str | None = None  # the column of the next level
 
 
 def _buckets(df: DataFrame, code: str, out: str, splits: list[float]) -> DataFrame:
@@ -74,7 +79,8 @@ def _quantiles(df: DataFrame, code: str, blocks: int) -> list[float]:
 class Layout:
     """Blocks of one sort order; fitted once, bound to any frame that has the key columns."""
 
-    def __init__(self, spark, series, order, reach, levels, series_hot, block_rows):
+    def __init__(self, spark, series, order, reach, levels, series_hot, block_rows, head=0):
+        self._head: int = head  # bytes that all values of a first text column share
         self.spark = spark
         self.series: list[str] = series
         self.order: list[str] = order
@@ -96,7 +102,7 @@ class Layout:
     def _first_code(self, df: DataFrame, how: str) -> DataFrame:
         """Adds ``__v0``, the level-0 code: the first order column, or (hot series, first order column)."""
         if not self.series:
-            return df.withColumn("__v0", F.coalesce(order_code(df, self.order[0]), F.lit(_NULL_CODE)))
+            return df.withColumn("__v0", F.coalesce(order_code(df, self.order[0], self._head), F.lit(_NULL_CODE)))
         fields = [T.StructField(f"__s{i}", df.schema[s].dataType) for i, s in enumerate(self.series)]
         schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in ("__idx", "__lo", "__hi")])
         hot = self.spark.createDataFrame(self._series_hot, schema)
@@ -121,14 +127,14 @@ class Layout:
             step = F.when(live, F.col(f"__b{depth}").cast("bigint")).otherwise(F.lit(_LEVEL_BASE - 1))
             code = code * _LEVEL_BASE + step
             if depth + 1 < len(self._levels):
-                rows = [(v, float(i), lo, hi) for i, (v, lo, hi) in enumerate(level.hot)]
-                names = f"__h{depth} double, __i{depth} double, __lo{depth} double, __hi{depth} double"
+                rows = [(v, float(i), lo, hi, head) for i, (v, lo, hi, head) in enumerate(level.hot)]
+                names = f"__h{depth} double, __i{depth} double, __lo{depth} double, __hi{depth} double, __head{depth} int"
                 hot = self.spark.createDataFrame(rows, names)
                 out = out.join(F.broadcast(hot), F.col(value) == F.col(f"__h{depth}"), "left")
                 live = F.col(f"__h{depth}").isNotNull()
                 spread = _spread(
                     F.col(f"__i{depth}"),
-                    order_code(df, self.order[depth + 1]),
+                    order_code(df, level.after, F.col(f"__head{depth}")),
                     F.col(f"__lo{depth}"),
                     F.col(f"__hi{depth}"),
                 )
@@ -247,42 +253,44 @@ class Layout:
         )
 
 
-def _level_plan(df: DataFrame, order: list[str], value: str, blocks: int) -> list[_Level]:
+def _level_plan(df: DataFrame, order: list[str], value: str, blocks: int, most: int = _MAX_LEVELS) -> list[_Level]:
     """Cut points per level for the rows of ``df``, whose level-0 code is in ``value``."""
     levels: list[_Level] = []
-    frame, code = df, value
-    for depth, key in enumerate(order[:_MAX_LEVELS]):
+    frame, code, at = df, value, 0
+    while True:
+        key, depth = order[at], len(levels)
         quants = _quantiles(frame, code, blocks)
         splits = sorted(set(quants))
         level = _Level(key, splits)
         levels.append(level)
         repeated = sorted({a for a, b in zip(quants, quants[1:]) if a == b})
-        if not repeated or depth + 1 >= min(len(order), _MAX_LEVELS):
+        if not repeated or depth + 1 >= most:
             break
-        nxt = order_code(df, order[depth + 1])
-        hot = (
-            frame.filter(F.col(code).isin(repeated))
-            .groupBy(F.col(code).alias("__h"))
-            .agg(
-                F.min(quoted(key)).eqNullSafe(F.max(quoted(key))).alias("pure"),
-                F.min(nxt).alias("lo"),
-                F.max(nxt).alias("hi"),
-            )
-            .filter("pure and lo is not null")
-            .orderBy("__h")
-            .collect()  # at most one row per repeated cut point
-        )
-        if not hot:
+        text = is_string(field_type(df, key))
+        ends = frame.filter(F.col(code).isin(repeated)).groupBy(F.col(code).alias("__h")).agg(F.min(quoted(key)).alias("a"), F.max(quoted(key)).alias("b"))
+        found = {r["__h"]: (r["a"], r["b"]) for r in ends.collect()}  # at most one row per repeated cut point
+        longer = {h: common_head(a, b) for h, (a, b) in found.items() if text and a is not None and a != b}
+        if longer:  # the same column again; groups of one value get one code and are cut by the next column after that
+            for h, (a, b) in sorted(found.items()):
+                n = longer.get(h, 0)
+                level.hot.append((h, *(0.0 if v is None else text_code(v, n) for v in (a, b)), n))
+        elif at + 1 < len(order):
+            at += 1
+            nxt = order_code(df, order[at])
+            pure = [h for h, (a, b) in found.items() if a == b]
+            spans = frame.filter(F.col(code).isin(pure)).groupBy(F.col(code).alias("__h")).agg(F.min(nxt).alias("lo"), F.max(nxt).alias("hi"))
+            level.hot.extend((r["__h"], r["lo"], r["hi"], 0) for r in spans.filter("lo IS NOT NULL").orderBy("__h").collect())
+        if not level.hot:
             break
-        level.hot.extend((r["__h"], r["lo"], r["hi"]) for r in hot)
+        level.after = order[at]
         table = frame.sparkSession.createDataFrame(
-            [(v, float(i), lo, hi) for i, (v, lo, hi) in enumerate(level.hot)],
-            "__h double, __i double, __l double, __u double",
+            [(v, float(i), lo, hi, head) for i, (v, lo, hi, head) in enumerate(level.hot)],
+            "__h double, __i double, __l double, __u double, __head int",
         )
         frame = frame.join(F.broadcast(table), F.col(code) == F.col("__h"))
         code = f"__v{depth + 1}"
-        frame = frame.withColumn(code, _spread(F.col("__i"), nxt, F.col("__l"), F.col("__u")))
-        frame = frame.drop("__h", "__i", "__l", "__u")
+        frame = frame.withColumn(code, _spread(F.col("__i"), order_code(df, level.after, F.col("__head")), F.col("__l"), F.col("__u")))
+        frame = frame.drop("__h", "__i", "__l", "__u", "__head")
     return levels
 
 
@@ -350,14 +358,18 @@ def fit_layout(
     blocks = min(blocks, _MAX_BLOCKS)
     if blocks < 2:
         return Layout(spark, series, order, reach, [], None, None)
-    draft = Layout(spark, series, order, reach, [], series_hot, None)
-    draft._levels = levels = _level_plan(draft._first_code(keys, "inner"), order, "__v0", blocks)
+    head, most = 0, _MAX_LEVELS
+    if not series and is_string(field_type(df, order[0])):
+        low, high = keys.agg(F.min(quoted(order[0])), F.max(quoted(order[0]))).first()
+        head, most = (common_head(low, high) if low is not None else 0), _MAX_TEXT_LEVELS
+    draft = Layout(spark, series, order, reach, [], series_hot, None, head)
+    draft._levels = levels = _level_plan(draft._first_code(keys, "inner"), order, "__v0", blocks, most)
     base = _LEVEL_BASE ** len(levels)
     counts = (
         draft._coded(keys).filter(F.col("__code").isNotNull()).groupBy("__code").count().collect()
     )  # one row per range
     table = [(int(r["__code"]) // base if series else 0, int(r["__code"]), int(r["count"])) for r in counts]
-    return Layout(spark, series, order, reach, levels, series_hot, _block_rows(table, reach))
+    return Layout(spark, series, order, reach, levels, series_hot, _block_rows(table, reach), head)
 
 
 def with_position(df, order_by, partition_by=None, out="pos", sizing=None) -> DataFrame:
