@@ -242,3 +242,12 @@ def k13(spark, d):
 def k14(spark, d):
     cmp = K.comparison_table(_evaluated(spark, d), "mae")
     return K.chart_data(cmp).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "k12_confusion_cells",
+    "SELECT o_orderstatus AS model, o_custkey % 1000 AS y_true, (o_custkey + o_orderkey % 3) % 1000 AS y_pred, count(*) AS n FROM orders GROUP BY 1, 2, 3",
+)
+def k12_cells(spark, d):
+    df = read(spark, d, "orders").selectExpr("o_orderstatus AS model", "o_custkey % 1000 AS y_true", "(o_custkey + o_orderkey % 3) % 1000 AS y_pred")
+    return K.confusion_matrix(df, zeros=False)

@@ -177,10 +177,12 @@ def trace(pred: DataFrame, order_by: str | Sequence[str], n: int = 100, model: s
     return picked.select(model, "step", "y_true", "y_pred")
 
 
-def confusion_matrix(pred: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """(keys, y_true, y_pred, n) over all pairs of classes, zeros included."""
+def confusion_matrix(pred: DataFrame, keys: Sequence[str] = ("model",), zeros: bool = True) -> DataFrame:
+    """(keys, y_true, y_pred, n): all pairs of classes, or with ``zeros=False`` those that occur, for many classes."""
     keys = list(keys)
     counts = pred.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+    if not zeros:
+        return counts
     both = counts.select(*keys, F.explode(F.array("y_true", "y_pred")).alias("c"))
     classes = both.groupBy(*keys).agg(F.collect_set("c").alias("cs"))  # as many entries as the matrix has rows
     cells = classes.select(*keys, "cs", F.explode("cs").alias("y_true")).select(*keys, "y_true", F.explode("cs").alias("y_pred"))

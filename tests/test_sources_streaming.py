@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from seriesmill.plans.plan import changed_targets
 from seriesmill.operators import scalar as S
 from seriesmill.sources import tables as A
 from seriesmill.streaming.online import transform_stream, update_context_stream
@@ -104,3 +105,39 @@ def test_context_on_a_stream(spark, sf_dir, tmp_path):
     for r in src.orderBy("ts", "event_id").collect():
         want.setdefault(r.user_id, []).append(r.event_id)
     assert {u: sorted(v) for u, v in seen.items()} == {u: sorted(v[-5:]) for u, v in want.items()}
+
+
+def test_parts_are_replaced_and_recorded(spark, tmp_path):
+    df = spark.range(30).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS split")
+    path = str(tmp_path / "t")
+    assert A.write_parts(df, path, "one").first().rows == 30
+    record = A.write_parts(df.filter("split = 'a' AND id > 8"), path, "two").first()
+    assert (record.partitions, record.rows) == (["a"], 7)
+    A.write_parts(df.filter("split = 'a' AND id > 8"), path, "two")
+    back = spark.read.parquet(path)
+    assert back.filter("split = 'a'").count() == 7 and back.filter("split = 'b'").count() == 20
+    assert sorted(r.run_id for r in A.commits(spark, path).collect()) == ["one", "two"]
+
+
+def test_changed_targets(spark):
+    before = spark.createDataFrame([(i, "k", float(i) if i % 5 else None) for i in range(400)], "id int, k string, y double")
+    after = before.filter("id < 390").selectExpr("id", "k", "CASE WHEN id = 7 THEN 0 WHEN id = 10 THEN 1 WHEN id = 11 THEN NULL ELSE y END AS y")
+    after = after.unionByName(spark.createDataFrame([(900, "k", None)], before.schema)).repartition(5)
+    for limit in (1 << 16, 1):
+        rows = {r.id: (r.old, r.new, r.change) for r in changed_targets(before, after, ["id", "k"], "y", max_ranges=limit).collect()}
+        want = {7: (7.0, 0.0, "changed"), 10: (None, 1.0, "changed"), 11: (11.0, None, "changed"), 900: (None, None, "added")}
+        assert rows == want | {i: (float(i) if i % 5 else None, None, "removed") for i in range(390, 400)}
+    assert changed_targets(before, before.repartition(3), "id", "y").count() == 0
+
+
+def test_idle_series_expire(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema, source, seen = "s string, t timestamp, v int", str(tmp_path / "in"), []
+    for step, rows in enumerate([[("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 00:00:00", 2)], [("b", "2024-01-03 00:00:00", 3)], [("b", "2024-01-03 01:00:00", 4)], [("a", "2024-01-03 02:00:00", 5)]]):
+        spark.createDataFrame(rows, "s string, t string, v int").selectExpr("s", "CAST(t AS TIMESTAMP) AS t", "v").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run = update_context_stream(stream, "s", ["t"], 5, "t", "1 hour", 3_600_000).writeStream.outputMode("update")
+        run = run.foreachBatch(lambda b, n, step=step: seen.extend((step, r.s, r.v) for r in b.collect()))
+        run.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {v for step, s, v in seen if s == "b" and step == 2} == {2, 3, 4} or {v for step, s, v in seen if s == "b" and step == 2} == {3, 4}
+    assert [v for step, s, v in seen if s == "a" and step == 3] == [5]  # its first row went with the state
