@@ -18,6 +18,8 @@ from seriesmill.operators.models import REGRESSION, FittedModel, fit_model, trai
 from seriesmill.operators.protocol import HIGHER_IS_BETTER
 from seriesmill.session import materialize
 
+TRIAL_ROWS = 50_000
+
 # Search spaces. ("int", low, high), ("float", low, high), ("log", low, high), ("choice", ...).
 SPACES = {
     "XGBoost": {
@@ -104,15 +106,17 @@ def tune(
 ) -> SearchResult:
     """Best of ``n_trials`` random parameter sets on the validation rows; a failed trial scores worst.
 
-    Trials run ``at_once`` (by default a fourth of the parallelism, 2 at least) as jobs of their own scheduler pools, so the tail of
-    one fit leaves no core idle; results do not depend on it. Both parts are written once and read by every trial.
+    Trials run ``at_once`` (by default as many as keep all cores busy, 2 at least) as jobs of their own scheduler pools. Both parts are
+    written once, in partitions of ``TRIAL_ROWS`` rows or more, and read by every trial: trees add up tables of statistics
+    per partition, so many small partitions cost more than they spare, and small tables are parallel by trial.
     If no trial has a score, there are no best parameters.
     """
     higher = HIGHER_IS_BETTER.get(metric, False)
     worst = -math.inf if higher else math.inf
     context = training_context(train, features, target, task, seed)
     columns = [*dict.fromkeys([*features, target])]
-    parts = [materialize(d.select(*columns)) for d in (train, val)]
+    width = max(1, min(train.rdd.getNumPartitions(), -(-context.n // TRIAL_ROWS)))
+    parts = [materialize(d.select(*columns).coalesce(width)) for d in (train, val)]
     sc = train.sparkSession.sparkContext
 
     def trial(i: int, params: dict) -> dict:
@@ -125,7 +129,7 @@ def tune(
             error = str(exc)
         return {"trial": i, "params": params, "score": worst if score is None else score, "error": error}
 
-    with ThreadPoolExecutor(at_once or max(2, sc.defaultParallelism // 4)) as pool:
+    with ThreadPoolExecutor(at_once or max(2, sc.defaultParallelism // width)) as pool:
         # each thread takes over the caller's job group and description
         jobs = [pool.submit(inheritable_thread_target(train.sparkSession)(trial), i, p) for i, p in enumerate(sample_space(name, n_trials, seed, space))]
         trials = [j.result() for j in jobs]
