@@ -34,6 +34,7 @@ SHARED = 256  # ids that words outside the vocabulary are hashed to
 STRIDE, ROUNDS, BATCH, RATE = 2, 2, 1024, 1.0
 SIDES = [i for i in range(-REACH, REACH + 1) if i]
 _CHUNKS = 64
+_SLICE = 1 << 13  # words whose probabilities are computed at once
 
 
 def word_codes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,53 +102,64 @@ class Network:
         return np.where(self.words[at] == codes, self.ids[at], (codes % np.uint64(SHARED)).astype(np.int64))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.around[0][context[:, 0]]
+        total = np.take(self.around[0], context[:, 0], axis=0)
         for side in range(1, len(SIDES)):
-            total = total + self.around[side][context[:, side]]
-        return np.concatenate((np.tanh(total), np.ones((len(total), 1), np.float32)), axis=1)
+            total += np.take(self.around[side], context[:, side], axis=0)
+        out = np.ones((len(total), WIDTH + 1), np.float32)
+        np.tanh(total, out=out[:, :-1])
+        return out
+
+    def by_class(self, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Classes and a table with the places of their words in one row per class, filled up with ``len(token)``.
+
+        Classes of like size share a table, so a frequent class doesn't widen the others.
+        """
+        kind = (token % CLASSES).astype(np.uint8)
+        order = np.append(np.argsort(kind, kind="stable"), len(token))
+        sizes = np.bincount(kind, minlength=CLASSES)
+        begins = np.cumsum(sizes) - sizes
+        for kinds in np.split(np.argsort(sizes, kind="stable"), [CLASSES // 2, CLASSES * 7 // 8]):
+            nth = np.arange(sizes[kinds].max())
+            if len(nth):
+                yield kinds, order[np.where(nth < sizes[kinds][:, None], begins[kinds][:, None] + nth, len(token))]
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.empty(len(token), np.float32)
-        for at in range(0, len(token), 1 << 15):
-            own = token[at : at + (1 << 15)]
-            h = self.hidden(context[at : at + (1 << 15)])
-            kind, place = own % CLASSES, own // CLASSES
+        for at in range(0, len(token), _SLICE):
+            own = token[at : at + _SLICE]
+            n, h = len(own), self.hidden(context[at : at + _SLICE])
             a = h @ self.to_class
-            part = a[np.arange(len(own)), kind] - np.log(np.exp(a).sum(axis=1))
-            order = np.argsort(kind, kind="stable")
-            cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                rows = order[cuts[c] : cuts[c + 1]]
-                if len(rows):
-                    b = h[rows] @ self.to_word[c]
-                    part[rows] += b[np.arange(len(rows)), place[rows]] - np.log(np.exp(b).sum(axis=1))
-            out[at : at + len(own)] = part
+            h, place = np.concatenate((h, h[:1])), np.append(own // CLASSES, 0)
+            part = np.empty(n + 1, np.float32)
+            for kinds, rows in self.by_class(own):
+                b = np.take(h, rows, axis=0) @ self.to_word[kinds]
+                part[rows] = np.take_along_axis(b, place[rows][..., None], axis=2)[..., 0] - np.log(np.exp(b, out=b).sum(axis=2))
+            out[at : at + n] = part[:n] + a[np.arange(n), own % CLASSES] - np.log(np.exp(a).sum(axis=1))
         return out
 
     def step(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One gradient step on the mean log-probability."""
         n, h = len(token), self.hidden(context)
-        kind, place = token % CLASSES, token // CLASSES
         a = np.exp(h @ self.to_class)
         a /= a.sum(axis=1, keepdims=True)
-        a[np.arange(n), kind] -= 1
-        back = a @ self.to_class.T
+        a[np.arange(n), token % CLASSES] -= 1
         grad_class = h.T @ a
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        grads = []
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            b = np.exp(h[rows] @ self.to_word[c])
-            b /= b.sum(axis=1, keepdims=True)
-            b[np.arange(len(rows)), place[rows]] -= 1
-            back[rows] += b @ self.to_word[c].T
-            grads.append(h[rows].T @ b)
-        inner = (back[:, :-1] * (1 - h[:, :-1] ** 2)) * np.float32(rate / n)
+        padded, place = np.concatenate((h, np.zeros((1, WIDTH + 1), np.float32))), np.append(token // CLASSES, 0)
+        back = np.empty_like(padded)  # its last row takes what the fillers give, and is left out
+        for kinds, rows in self.by_class(token):
+            own, weights = np.take(padded, rows, axis=0), self.to_word[kinds]
+            b = own @ weights
+            np.exp(b, out=b)
+            b /= b.sum(axis=2, keepdims=True)
+            b.reshape(-1, PER_CLASS)[np.arange(rows.size), place[rows.ravel()]] -= 1
+            back[rows] = b @ weights.transpose(0, 2, 1)
+            self.to_word[kinds] -= np.float32(rate / n * 4) * (own.transpose(0, 2, 1) @ b)
+        back = back[:n] + a @ self.to_class.T
         self.to_class -= np.float32(rate / n) * grad_class
-        self.to_word -= np.float32(rate / n * 4) * np.stack(grads)
-        for side in range(len(SIDES)):
-            np.subtract.at(self.around[side], context[:, side], 8 * inner)
+        inner = (back[:, :-1] * (1 - h[:, :-1] ** 2)) * np.float32(8 * rate / n)
+        vectors = context + np.arange(len(SIDES)) * (CLASSES * PER_CLASS + 1)
+        numbers = (vectors * WIDTH)[:, :, None] + np.arange(WIDTH)
+        np.subtract.at(self.around.reshape(-1), numbers.reshape(-1), np.repeat(inner[:, None], len(SIDES), axis=1).reshape(-1))
 
 
 def contexts(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -210,19 +222,23 @@ def scored(text: Column, broadcast) -> Column:
 
     @F.arrow_udf("struct<n_tokens: bigint, log_likelihood: double, rare: array<bigint>, times: array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        net, counts, sums, rare, times = broadcast.value, [np.zeros(0, np.int64)], [np.zeros(0)], [], []
+        none = np.zeros(0, np.int64)
+        net, counts, sums, kinds, rare, times = broadcast.value, [none], [np.zeros(0)], [none], [none], [none]
         for n, codes, doc in word_codes(texts):
             token = net.tokens(codes)
             counts.append(np.bincount(doc, minlength=n))
             sums.append(np.bincount(doc, weights=net.log_probabilities(contexts(token, doc), token), minlength=n))
             shared = token < SHARED
-            words, cuts = codes[shared].view(np.int64), np.searchsorted(doc[shared], np.arange(n + 1))
-            for i in range(n):
-                found, m = np.unique(words[cuts[i] : cuts[i + 1]], return_counts=True)
-                rare.append(found)
-                times.append(m)
+            words, owner = codes[shared].view(np.int64), doc[shared]
+            order = np.lexsort((words, owner))
+            words, owner = words[order], owner[order]
+            first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])))[: len(words)])
+            times.append(np.diff(np.append(first, len(words))))
+            rare.append(words[first])
+            kinds.append(np.bincount(owner[first], minlength=n))
         columns = [pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(sums), pa.float64())]
-        columns += [pa.array(x, pa.list_(pa.int64())) for x in (rare, times)]
+        ends = pa.array(np.append(0, np.cumsum(np.concatenate(kinds))), pa.int32())
+        columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (rare, times)]
         return pa.StructArray.from_arrays(columns, ["n_tokens", "log_likelihood", "rare", "times"])
 
     return of(text)
