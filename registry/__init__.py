@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "profiles", "transforms", "series", "splits", "metrics", "reports", "models", "writes", "flagship")
+MODULES = ("sources", "profiles", "transforms", "series", "splits", "metrics", "reports", "models", "writes", "flows", "flagship")
 
 
 def load():
