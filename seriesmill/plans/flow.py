@@ -4,7 +4,8 @@ Every stage works on what the earlier ones found. What reaches the driver is sma
 (profile), one row per table (task, protocol), a few models. The prepared table is written once and every model reads it.
 
 Outcomes: ``completed``; ``partial_failure`` (some models failed, the others are ranked); ``failed`` (a guard of the task,
-a stage or all models failed). Stages before a failure keep their results, those after it are ``skipped``.
+a stage or all models failed). Stages before a failure keep their results, those after it are ``skipped``. Rows without a
+target value take part in the transforms, but are neither learned from nor scored; an empty table is a failed run.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from seriesmill.functions.columns import as_list, field_type, is_string, numeric_columns
+from seriesmill.functions.columns import as_list, field_type, is_string, missing, numeric_columns
 from seriesmill.functions.metrics import compute_metrics
 from seriesmill.operators.models import FitReport, REGRESSION, fit_all, score_all, select_models
 from seriesmill.operators.profile import profile
@@ -114,7 +115,8 @@ def run_flow(
         p = flow.protocol = eval_protocol(tasks()).first()
         shares = Fractions(p["train_fraction"], round(1 - p["train_fraction"] - p["test_fraction"], 6), p["test_fraction"])
         options = {"target": p["target_col"], "time_col": p["time_col"], "group_col": p["group_col"]}
-        flow.parts = materialize(split(flow.parts, p["split_strategy"], keys, shares, seed, **options))
+        known = flow.parts.filter(~missing(flow.parts, p["target_col"]))
+        flow.parts = materialize(split(known, p["split_strategy"], keys, shares, seed, **options))
         split_info(flow.parts, min(p["minimum_test_samples"], max(1, int(p["num_rows"] * p["test_fraction"]))))
 
     def selection() -> None:

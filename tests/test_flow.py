@@ -68,3 +68,16 @@ def test_a_constant_target_ends_the_run(spark):
     assert flow.status == "failed" and flow.stages["problem_classification"] == ("failed", "TARGET_CONSTANT")
     table = flow.stage_table(spark).orderBy("ordinal").collect()
     assert [r.status for r in table] == ["completed", "failed"] + ["skipped"] * 5
+
+
+def test_rows_without_a_target_are_left_out(spark):
+    df = _table(spark, "regression").selectExpr("id", "x", "z", "CASE WHEN id % 8 = 0 THEN NULL WHEN id % 8 = 4 THEN double('NaN') ELSE target END AS target")
+    flow = run_flow(df, "id", models=["DummyRegressor", "LinearModel"])
+    assert flow.status == "completed", flow.stages
+    assert flow.parts.count() == 180 and flow.metrics.filter("rmse IS NULL").isEmpty()
+    assert flow.ranking.orderBy("rank").first().model == "LinearModel"
+
+
+def test_an_empty_table_is_a_failed_run(spark):
+    flow = run_flow(_table(spark, "regression").limit(0), "id")
+    assert flow.status == "failed" and flow.ranking is None and "failed" in {s for s, _ in flow.stages.values()}
